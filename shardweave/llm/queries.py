@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardweave.llm import quality
 from shardweave.llm.exact_dedup import exact_groups
 from shardweave.llm.line_dedup import dedup_lines
+from shardweave.llm.pii import KINDS, detect
 from shardweave.llm.simhash import near_groups
+from shardweave.llm.substring_dedup import cut_repeats
+from shardweave.llm.topk import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +30,38 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark, f"{sf_dir}/documents.parquet")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    out = quality.score(docs, model)
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_pii": op4_pii,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -53,6 +81,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
+    "op5_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+        t AS (SELECT vec_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM v),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x)::BIGINT AS score
+            FROM (SELECT * FROM t WHERE vec_id % 50 = 0) q JOIN t c ON q.i = c.i AND q.vec_id <> c.vec_id GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        p AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w),
+        g AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS win FROM p),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM g),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM r WHERE k > 1),
+        every AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+        kept AS (
+            SELECT e.doc_id, count(*) AS n, count(gone.pos) AS removed,
+                   coalesce(string_agg(word, ' ' ORDER BY e.pos) FILTER (WHERE gone.pos IS NULL), '') AS body
+            FROM every e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.pos = gone.pos GROUP BY e.doc_id)
+        SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
     "op8_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,
