@@ -3,14 +3,16 @@
 One zstandard dictionary is trained on texts labelled good and one on texts
 labelled bad. A text is cut into chunks (all of it; chunks keep the
 dictionary's weight the same in long texts), each chunk is compressed with
-both, and the difference of the summed sizes over the text's bytes is the
-feature. A logistic curve fitted on labelled rows that trained no dictionary
-turns it into a score.
+both, and the difference of the summed sizes over their sum is the feature.
+A logistic curve fitted on labelled rows that trained no dictionary turns it
+into a score. The curve also knows how far the text compresses at all (plain
+repetition does under either dictionary) and how short it is (sizes of a few
+bytes say little), and weighs the sample's rows so that both classes are as
+frequent as among all labels.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,29 +24,32 @@ from pyspark.sql import functions as F
 
 CHUNK = 2048  # bytes
 LEVEL = 3
+SHORT = 64  # bytes at which a text counts as half short
 
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries (empty: nothing to learn from) and the curve's two numbers."""
+    """Two dictionaries (empty: nothing to learn from) and the curve's numbers: one a feature, and a constant."""
 
     good: bytes
     bad: bytes
-    slope: float
-    shift: float
+    curve: tuple[float, float, float, float]
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """(size under good - size under bad) / bytes; zero for empty texts."""
+        """A row a text: (size under good - size under bad) / their sum, zero for empty texts; how short it is; one; log of their sum over twice the bytes."""
+        out = np.zeros((len(texts), 4))
+        out[:, 2] = 1
         if not self.good:
-            return np.zeros(len(texts))
+            return out
         tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in self._dictionaries()]
-        out = np.zeros(len(texts))
         for i, t in enumerate(texts):
             raw = (t or "").encode("utf-8", "surrogatepass")
+            out[i, 1] = SHORT / (SHORT + len(raw))
             if raw:
                 parts = [raw[j : j + CHUNK] for j in range(0, len(raw), CHUNK)]
                 good, bad = (sum(len(tool.compress(p)) for p in parts) for tool in tools)
-                out[i] = (good - bad) / len(raw)
+                out[i, 0] = (good - bad) / (good + bad)
+                out[i, 3] = min(0.0, np.log((good + bad) / (2 * len(raw))))
         return out
 
     def _dictionaries(self) -> list[zstandard.ZstdCompressionDict]:
@@ -54,23 +59,22 @@ class Model:
         return made
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.features(texts) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ np.array(self.curve), -30, 30)))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of y on x by Newton's method, with smoothed targets."""
-    scale = float(np.std(x)) or 1.0
-    z = np.stack([x / scale, np.ones_like(x)], axis=1)
-    n1, n0 = y.sum(), len(y) - y.sum()
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Weighted logistic regression of y on the columns of x by Newton's method, with smoothed targets."""
+    scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
+    z, n1, n0 = x / scale, y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    w = np.zeros(2)
-    for _ in range(50):
+    w, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (t - p) - 1e-3 * w)
-        w = w + step
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (t - p)) - ridge @ w)
+        w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return tuple(float(v) for v in w / scale)
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
@@ -107,12 +111,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_chars: int =
     for i, r in enumerate(rows):
         halves[int(r["q"] > 0), i % 2].append(r["text"])
     if not all(halves.values()):
-        return Model(b"", b"", 0.0, 0.0)
-    bare = Model(_dictionary(halves[1, 0], dictionary), _dictionary(halves[0, 0], dictionary), 1.0, 0.0)
+        return Model(b"", b"", (0.0, 0.0, 0.0, 0.0))
+    counts = {int(r["q"] > 0): r["n"] for r in known.groupBy((F.col("q") > 0).cast("int").alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    bare = Model(_dictionary(halves[1, 0], dictionary), _dictionary(halves[0, 0], dictionary), (0.0, 0.0, 0.0, 0.0))
     x = bare.features(halves[0, 1] + halves[1, 1])
     y = np.array([0] * len(halves[0, 1]) + [1] * len(halves[1, 1]))
-    slope, shift = _curve(x, y)
-    return Model(bare.good, bare.bad, slope, shift)
+    share = [counts[q] / sum(counts.values()) * len(y) / len(halves[q, 1]) for q in (0, 1)]
+    return Model(bare.good, bare.bad, _curve(x, y, np.where(y > 0, share[1], share[0])))
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
@@ -129,5 +134,4 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
             s = pa.array(model.scores(b.column(at).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, out])
 
-    assert math.isfinite(model.slope)
     return docs.drop(out).mapInArrow(run, schema.add(out, "double"))
