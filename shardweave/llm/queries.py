@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardweave.llm import quality
+from shardweave.llm import packing, quality, rans
 from shardweave.llm.exact_dedup import exact_groups
 from shardweave.llm.line_dedup import dedup_lines
 from shardweave.llm.pii import KINDS, detect
@@ -30,6 +30,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.write_and_read(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
 
@@ -54,14 +58,20 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_token_ids": op3_token_ids,
     "op4_pii": op4_pii,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_packing": op10_packing,
 }
 
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
