@@ -14,6 +14,7 @@ from shardweave.llm.pii import KINDS, detect
 from shardweave.llm.simhash import near_groups
 from shardweave.llm.substring_dedup import cut_repeats
 from shardweave.llm.topk import top_k
+from shardweave.llm.transducer import encode_and_decode
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark, f"{sf_dir}/documents.parquet")
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
