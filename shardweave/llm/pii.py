@@ -341,3 +341,17 @@ def detect(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, masked string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def mask(docs: DataFrame, out: str = "masked") -> DataFrame:
+    """``docs`` with the masked text in column ``out``; all other columns pass through whatever their name. Null texts become empty."""
+    crf = SemiCRF(dict(train().w))
+    schema = docs.drop(out).schema
+    at = schema.fieldNames().index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [masked(t, spans) if (spans := find(t, crf)[1]) else t for t in (t or "" for t in b.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+
+    return docs.drop(out).mapInArrow(run, schema.add(out, "string"))
