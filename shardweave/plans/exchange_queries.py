@@ -1 +1,138 @@
-"""Placeholder."""
+"""Queries of exchange planning and of aggregation under each plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shardweave.operators import exchange
+from shardweave.operators.cover import covers
+from shardweave.plans import fixtures as fx
+from shardweave.plans.fixtures import PARTS, WIDTH, with_graph
+from shardweave.plans.graph_queries import _feats, _split, cells, part_assign
+from shardweave.plans.registry import query
+
+
+def _cut(spark, sf):
+    return exchange.cut_edges(_split(spark, sf)).select("src", "dst", "src_part", "dst_part")
+
+
+_DEGREE = """, counted AS (SELECT *, count(*) OVER (PARTITION BY src_part, dst_part, src) AS o, count(*) OVER (PARTITION BY src_part, dst_part, dst) AS i FROM cut),
+by_degree AS (SELECT src, dst, src_part, dst_part, CASE WHEN o > i THEN 'post' ELSE 'pre' END AS mode FROM counted)
+"""
+
+
+@query(with_graph("SELECT DISTINCT src_part, dst_part, src FROM cut"))
+def demand_set(spark, sf):
+    return exchange.demand(_cut(spark, sf))
+
+
+@query(with_graph(_DEGREE + "SELECT * FROM by_degree"))
+def plan_degree(spark, sf):
+    return exchange.degree_modes(_cut(spark, sf))
+
+
+@query(with_graph(_DEGREE + "SELECT src_part, dst_part, src, dst FROM by_degree WHERE mode = 'pre' UNION ALL SELECT DISTINCT src_part, dst_part, src, src FROM by_degree WHERE mode = 'post'"))
+def send_list(spark, sf):
+    return exchange.sent(plan_degree(spark, sf))
+
+
+@query(with_graph(_DEGREE + "SELECT src_part, dst_part, src, dst FROM by_degree WHERE mode = 'post' UNION ALL SELECT DISTINCT src_part, dst_part, dst, dst FROM by_degree WHERE mode = 'pre'"))
+def recv_list(spark, sf):
+    return exchange.received(plan_degree(spark, sf))
+
+
+_VOLUME = "SELECT a.x AS src_part, b.x AS dst_part, coalesce(k, 0)::BIGINT AS n_rows, ceil(coalesce(k, 0) * 8 / 8.0)::BIGINT AS packed_8, ceil(coalesce(k, 0) * 4 / 8.0)::BIGINT AS packed_4, ceil(coalesce(k, 0) * 2 / 8.0)::BIGINT AS packed_2 FROM range(4) a(x) CROSS JOIN range(4) b(x) LEFT JOIN (SELECT src_part, dst_part, count(DISTINCT CASE mode WHEN 'pre' THEN -1 - dst ELSE src END) AS k FROM {} GROUP BY ALL) ON src_part = a.x AND dst_part = b.x"
+
+
+@query(with_graph(_DEGREE + _VOLUME.format("by_degree")))
+def comm_splits(spark, sf):
+    return exchange.volumes(plan_degree(spark, sf), PARTS)
+
+
+@query(with_graph(_DEGREE + f", vol AS ({_VOLUME.format('by_degree')}) SELECT s.part, sent, received FROM (SELECT src_part AS part, sum(n_rows)::BIGINT AS sent FROM vol GROUP BY 1) s JOIN (SELECT dst_part AS part, sum(n_rows)::BIGINT AS received FROM vol GROUP BY 1) r ON s.part = r.part"))
+def comm_volume(spark, sf):
+    return exchange.part_volumes(comm_splits(spark, sf))
+
+
+@query(with_graph(_DEGREE + f", vol AS ({_VOLUME.format('by_degree')}) SELECT dst_part, src_part, (sum(n_rows) OVER p - n_rows)::BIGINT AS begin, (sum(n_rows) OVER p)::BIGINT AS \"end\" FROM vol WINDOW p AS (PARTITION BY dst_part ORDER BY src_part)"))
+def prefix_ranges(spark, sf):
+    return exchange.ranges(comm_splits(spark, sf))
+
+
+@query(with_graph("SELECT dst_part, src, dst, dense_rank() OVER (PARTITION BY dst_part ORDER BY src) - 1 + k AS remote_id FROM cut JOIN (SELECT part, count(*) AS k FROM part GROUP BY part) ON part = dst_part"))
+def remote_renumber(spark, sf):
+    nodes = part_assign(spark, sf).groupBy("part").agg(F.count(F.lit(1)).alias("nodes"))
+    return exchange.renumber(_cut(spark, sf), nodes)
+
+
+@query(with_graph("SELECT src_part, dst, dense_rank() OVER (ORDER BY src_part, dst) - 1 AS new_id FROM cut"))
+def remap_ids(spark, sf):
+    return exchange.remap_ids(_cut(spark, sf).select("src_part", "dst"), "src_part", "dst")
+
+
+# One answer under every plan
+
+_SUM = with_graph("SELECT e.dst AS node_id, f.j, sum(v) AS v FROM sparse e JOIN f ON f.node_id = e.src GROUP BY e.dst, f.j")
+
+
+def _planned(spark, sf, modes):
+    split = _split(spark, sf)
+    cut = exchange.cut_edges(split).select("src", "dst", "src_part", "dst_part")
+    return cells(exchange.aggregate_planned(split.where("is_local"), modes(cut), _feats(spark, sf), WIDTH))
+
+
+@query(_SUM)
+def agg_plan_pre(spark, sf):
+    return _planned(spark, sf, lambda cut: exchange.constant_modes(cut, "pre"))
+
+
+@query(_SUM)
+def agg_plan_post(spark, sf):
+    return _planned(spark, sf, lambda cut: exchange.constant_modes(cut, "post"))
+
+
+@query(_SUM)
+def agg_plan_degree(spark, sf):
+    return _planned(spark, sf, exchange.degree_modes)
+
+
+@query(_SUM)
+def agg_plan_cover(spark, sf):
+    return _planned(spark, sf, exchange.cover_modes)
+
+
+# Covers
+
+
+@query()
+def cover_size(spark, sf):
+    """Rows that cross for each part pair under a minimum cover; the set isn't unique, its size is."""
+    return covers(_cut(spark, sf)).groupBy("src_part", "dst_part").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query("SELECT 0::BIGINT AS uncovered")
+def cover_valid(spark, sf):
+    cut, cover = _cut(spark, sf), covers(_cut(spark, sf))
+    for side in ("src", "dst"):
+        held = cover.where(F.col("side") == side).select("src_part", "dst_part", F.col("node").alias(side))
+        cut = cut.join(held, ["src_part", "dst_part", side], "left_anti")
+    return cut.agg(F.count(F.lit(1)).alias("uncovered"))
+
+
+@query()
+def plan_cover(spark, sf):
+    return exchange.cover_modes(_cut(spark, sf))
+
+
+@query()
+def plan_cover_volume(spark, sf):
+    """Rows that cross in all, by plan: the cover's are the least."""
+    cut = _cut(spark, sf)
+    plans = {"cover": exchange.cover_modes(cut), "degree": exchange.degree_modes(cut), "post": exchange.constant_modes(cut, "post"), "pre": exchange.constant_modes(cut, "pre")}
+    out = None
+    for name, planned in plans.items():
+        one = exchange.messages(planned).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("plan"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
