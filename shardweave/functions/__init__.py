@@ -1 +1 @@
-
+"""Column functions over feature rows."""
