@@ -89,6 +89,10 @@ def label_rows(rows: DataFrame, labels: DataFrame, table: np.ndarray, join: bool
     return rows.join(marked, "node_id", "left").select("node_id", (F.concat(x, emb) if join else add_rows(x, emb)).alias("feat"))
 
 
+def _scaled(feat: Column, by: float) -> Column:
+    return F.transform(feat, lambda v: v * by)
+
+
 def select_features(inputs: list[DataFrame], weights: list[np.ndarray], attention: np.ndarray, how: str = "concat", normalise: bool = True) -> DataFrame:
     """Per input softmax(attention) times the (L2-normalised) linear image, concatenated or summed, then relu."""
     from shardweave.operators.normalise import l2
@@ -98,7 +102,7 @@ def select_features(inputs: list[DataFrame], weights: list[np.ndarray], attentio
     out = None
     for i, (rows, w) in enumerate(zip(inputs, weights, strict=True)):
         image = l2(F.col("feat")) if normalise else F.col("feat")
-        one = linear(rows, w).select("node_id", F.transform(image, lambda v, s=float(share[i]): v * s).alias(f"f{i}"))
+        one = linear(rows, w).select("node_id", _scaled(image, float(share[i])).alias(f"f{i}"))
         out = one if out is None else out.join(one, "node_id")
     parts = [F.col(f"f{i}") for i in range(len(inputs))]
     whole = F.concat(*parts)
