@@ -97,9 +97,9 @@ def remap_ids(rows: DataFrame, block: str, id_: str) -> DataFrame:
     """Ids numbered over (block, id) in order, from zero (G2): an id in two blocks gets two numbers."""
     distinct = rows.select(block, id_).distinct()
     sizes = distinct.groupBy(block).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select(block, F.coalesce(F.sum("n").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # a row a block
-    inner = distinct.withColumn("k", F.row_number().over(Window.partitionBy(block).orderBy(id_)) - 1).join(before, block)
-    return rows.join(inner.select(block, id_, (F.col("b") + F.col("k")).cast("long").alias("new_id")), [block, id_])
+    before = sizes.select(block, F.coalesce(F.sum("n").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row a block
+    inner = distinct.withColumn("__k", F.row_number().over(Window.partitionBy(block).orderBy(id_)) - 1).join(before, block)
+    return rows.join(inner.select(block, id_, (F.col("__before") + F.col("__k")).cast("long").alias("new_id")), [block, id_])
 
 
 def ranges(volume: DataFrame, to: str = "dst_part", of: str = "src_part") -> DataFrame:

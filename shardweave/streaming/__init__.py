@@ -1 +1 @@
-
+"""Log lines as a stream."""
