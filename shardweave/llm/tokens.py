@@ -41,6 +41,24 @@ def _before_space(text: str) -> list[str] | None:
     return [head, *parts] if head else parts
 
 
+#: Letters up to U+00FF, digits, ASCII white space and ASCII punctuation but for the apostrophe: the normal form of such
+#: a text is plain (composed already, lower case letter by letter), and these patterns split it as the tokenizers do.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_PLAIN = re.compile(rf"[{_LETTERS}\t-\r -&(-~]*")
+_OTHERS = rf"[^\t-\r {_LETTERS}0-9]+"
+_RUNS = {
+    "word_bpe_49k.json": re.compile(rf"[{_LETTERS}]+|[0-9]|{_OTHERS}"),
+    "byte_bpe_50k.json": re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?{_OTHERS}|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"),
+}
+
+
+def _visible() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next one from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
 class Tokens:
     """``name``: a tokenizer file of public_tokenizers. Special tokens' strings in a text are ordinary text."""
 
@@ -50,6 +68,10 @@ class Tokens:
 
         self.tool = Tokenizer.from_file(public_tokenizers.path(name))
         self.tool.encode_special_tokens = True
+        self.runs = _RUNS.get(name)
+        self.model = self.tool.model
+        self.lower = name == "word_bpe_49k.json"
+        self.visible = _visible()
         self.split = {"word_bpe_49k.json": _by_space, "byte_bpe_50k.json": _before_space}.get(name, lambda text: None)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -57,13 +79,30 @@ class Tokens:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [_bytes(e.ids) for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, text: str) -> list[str] | None:
+        """Parts whose ids put together are the text's; None: the library gets the text whole."""
+        if self.runs is not None and _PLAIN.fullmatch(text):
+            return self.runs.findall(text.lower() if self.lower else text)
+        return self.split(text)
+
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that ``young`` lacks."""
-        found = {p: self.old[p] for p in parts if p in self.old}
-        new = [p for p in parts if p not in found]
-        found.update(zip(new, self._encode(new), strict=True))
-        if len(self.young) + len(found) > _KEEP:
+        """Ids of parts that ``young`` lacks; plain ones come straight from the library's model."""
+        if len(self.young) + len(parts) > _KEEP:
             self.old, self.young = self.young, {}
+        found, hard, old, model, run = {}, [], self.old, self.model, self.runs
+        for p in parts:
+            got = old.get(p)
+            if got is None:
+                if run is None or not _PLAIN.fullmatch(p) or not run.fullmatch(p):
+                    hard.append(p)
+                    continue
+                shown = p.lower() if self.lower else p
+                if not (shown.isascii() and shown.isalpha()):
+                    shown = "".join([self.visible[b] for b in shown.encode()])
+                got = _bytes([t.id for t in model.tokenize(shown)])
+            found[p] = got
+        if hard:
+            found.update(zip(hard, self._encode(hard), strict=True))
         self.young.update((p, v) for p, v in found.items() if len(p) <= _LONG)
         return found
 
@@ -72,7 +111,7 @@ class Tokens:
         out: list[bytes] = []
         for i, j in _groups(texts):
             some = [t or "" for t in texts[i:j]]
-            parts = [self.split(t) for t in some]
+            parts = [self._parts(t) for t in some]
             whole = [t for t, p in zip(some, parts, strict=True) if p is None]
             wholes = iter(self._encode(whole) if whole else [])
             look = self.young.get
