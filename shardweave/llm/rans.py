@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardweave.llm.tokens import tokens
-from shardweave.runtime import fresh_path
+from shardweave.runtime import fresh_path, settle
 
 MAGIC, VERSION = b"SWRB", 1
 LANES, ROWS = 1024, 128
@@ -164,22 +164,44 @@ def _docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def count_ids(docs: DataFrame, tokenizer: str, end_id: int) -> Table:
-    """The shared table: ids of all texts. What reaches the driver is bounded by the vocabulary."""
+_IDS = "part long, row long, doc_id long, ids binary"
+
+
+def sorted_ids(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, str]:
+    """(part, row, doc_id, ids) in ascending doc_id order, written once, and the ids' type: 16 bits where the vocabulary fits, else 32."""
+    kind = "<u2" if max(tokens(tokenizer).tool.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, counts = tokens(tokenizer), np.zeros(1, np.int64)
+        tool, part, row = tokens(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i in range(0, len(texts), 64):
-                some = texts[i : i + 64]
-                got = np.bincount(np.concatenate([np.frombuffer(b"".join(tool.encode(some)), "<u4").astype(np.int64), np.full(len(some), end_id)]), minlength=len(counts))
+            texts = b.column(1).to_pylist()
+            for i in range(0, len(texts), 256):
+                raws = [np.frombuffer(raw + end, "<u4").astype(kind).tobytes() for raw in tool.encode(texts[i : i + 256])]
+                n = len(raws)
+                cols = [pa.array([part] * n, pa.int64()), pa.array(range(row, row + n), pa.int64()), b.column(0).slice(i, n), pa.array(raws, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "row", "doc_id", "ids"])
+                row += n
+
+    ordered = _docs(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    return settle(ordered.mapInArrow(run, _IDS), "ids"), kind
+
+
+def count_ids(ids: DataFrame, kind: str) -> Table:
+    """The shared table, from all ids. What reaches the driver is bounded by the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1, np.int64)
+        for b in batches:
+            raws = b.column(0).to_pylist()
+            for i in range(0, len(raws), 1024):
+                got = np.bincount(np.frombuffer(b"".join(raws[i : i + 1024]), kind), minlength=len(counts))
                 got[: len(counts)] += counts
                 counts = got
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], names=["id", "n"])
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
-    rows = _docs(docs).select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return Table.of(np.array([r["id"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64))
 
 
@@ -191,44 +213,45 @@ def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_
 
     Every document ends in ``end_id``; a null or empty text is that id alone.
     Null doc_ids come first; rows that repeat a doc_id are written each. Other
-    columns are not read. An empty table gives files without blocks.
+    columns are not read. An empty table gives files without blocks. A block's
+    place is its range of doc_ids (part) and its first document there (seq).
     """
-    spark = docs.sparkSession
-    table = count_ids(docs, tokenizer, end_id)
+    ids, kind = sorted_ids(docs, tokenizer, end_id)
+    table = count_ids(ids, kind)
     entries = list(zip(table.ids.tolist(), table.freq.tolist(), strict=True))
-    spark.createDataFrame(entries, "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
-    end = np.array([end_id], "<u4").tobytes()
+    docs.sparkSession.createDataFrame(entries, "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, coder, part = tokens(tokenizer), Coder(table), TaskContext.get().partitionId()
-        seq, load, names, raws = 0, 0, [], []
+        coder = Coder(table)
+        names: list[int | None] = []
+        raws: list[bytes] = []
+        part = first = load = 0
 
         def block() -> pa.RecordBatch:
-            nonlocal seq, load
-            ids = np.frombuffer(b"".join(raws), "<u4")
+            nonlocal load
+            flat = np.frombuffer(b"".join(raws), kind).astype(np.int64)
             known = np.array([0 if d is None else d for d in names], "<i8")
-            lengths = np.array([len(r) // 4 for r in raws], "<i8")
-            row = [part, seq, len(ids), known.tobytes(), np.array([d is None for d in names]).tobytes(), lengths.tobytes(), coder.encode(ids.astype(np.int64))]
-            seq, load = seq + 1, 0
+            lengths = np.array([len(r) // int(kind[2]) for r in raws], "<i8")
+            row = [part, first, len(flat), known.tobytes(), np.array([d is None for d in names]).tobytes(), lengths.tobytes(), coder.encode(flat)]
+            load = 0
             names.clear()
             raws.clear()
             types = [pa.int64()] * 3 + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
         for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(texts), 32):
-                for d, raw in zip(doc_ids[i : i + 32], tool.encode(texts[i : i + 32]), strict=True):
-                    names.append(d)
-                    raws.append(raw + end)
-                    load += len(raw) // 4 + 1
-                    if load >= BLOCK:
-                        yield block()
+            for p, r, d, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if names and (load >= BLOCK or p != part or r != first + len(names)):
+                    yield block()
+                if not names:
+                    part, first = p, r
+                names.append(d)
+                raws.append(raw)
+                load += len(raw) // int(kind[2])
         if names:
             yield block()
 
-    ordered = _docs(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ids.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
