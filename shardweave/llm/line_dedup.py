@@ -99,7 +99,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     lines but those in the largest doc_id. A null or empty text is one empty
     line. Every row counts as a document; rows that repeat a doc_id are decided
     by that doc_id alike, and a null doc_id is smaller than any other. If all
-    lines go, the text is empty. Other columns pass through whatever their name.
+    lines go, the text is empty. Other columns pass through whatever their name;
+    columns named as the three that are added give way to them.
     """
     spark = docs.sparkSession
     runs = LineRuns(spark, min_docs, fanout)
@@ -117,14 +118,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     gone = gone.groupBy("__id", "__row").agg(F.collect_set("__pos").alias("__gone"))
     gone = gone.select(F.col("__id").alias("__gid"), F.col("__row").alias("__grow"), "__gone")
 
-    every = docs.select("*", *row)
+    own = [c for c in docs.columns if c not in ("__n_lines", "__n_dropped", "__kept")]
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__doc"), F.col("text").alias("__text"), *row)  # one column, so that no name can clash
     found = every.join(gone, every["__id"].eqNullSafe(gone["__gid"]) & (every["__row"] == gone["__grow"]), "left")
     n = F.size("__lines")
-    found = found.withColumn("__lines", _lines(F.col("text"))).withColumn("__stay", F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("__gone", F.array().cast("array<int>"))))
-    return found.withColumns(
+    found = found.withColumn("__lines", _lines(F.col("__text"))).withColumn("__stay", F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("__gone", F.array().cast("array<int>"))))
+    found = found.withColumns(
         {
             "__n_lines": n.cast("long"),
             "__n_dropped": (n - F.size("__stay")).cast("long"),
             "__kept": F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n"),
         }
-    ).drop("__id", "__row", "__gid", "__grow", "__gone", "__lines", "__stay")
+    )
+    return found.select("__doc.*", "__n_lines", "__n_dropped", "__kept")

@@ -1,0 +1,450 @@
+"""Each operator against a plain brute force, on documents with nulls, empties, ties, repeats, long texts and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from shardweave.llm import exact_dedup, line_dedup, packing, pii, quality, queries, rans, simhash, similar, substring_dedup, tokens, topk, transducer
+
+SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: Columns named like the operators' own, to clash with them.
+EXTRA = ["__id", "__row", "__text", "fp", "sid", "row", "h", "n", "part", "digest", "label", "score", "block", "lines"]
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}{rng.choice(['', '', ',', '.'])}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(11)
+    passage, line = words(rng, 60), "This line is In Many documents, always."
+    out: list[str | None] = [None, "", " \t\n", "a", "A b", "\n\n", "naïve café ÉCOLE 日本語 😀", "x" * 3000]
+    out += [words(rng, rng.randrange(1, 120)) for _ in range(25)]
+    out += [words(rng, 30) + "\n  " + line.upper() + "\t\n" + words(rng, 10) + " " + passage for _ in range(6)]
+    out += [line + "\n" + line, passage + " " + passage, out[10], out[10], out[11].replace(" ", "  ", 1)]
+    near = out[20].split() + words(rng, 80).split()
+    out += [" ".join([*near[:i], "other", *near[i + 1 :]]) for i in (3, 40, 77)] + [" ".join(near)]
+    out += ["mail a.b@c.org or +1 (743) 555-3824, host 10.0.0.255, 999.1.1.1, card 4111 1111 1111 1111 and 4111111111111112", "token = \"" + "ab12" * 10 + "\" end"]
+    out += [words(rng, 20000)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(3 * i, t) for i, t in enumerate(texts)] + [(0, "again"), (0, "again"), (None, texts[12]), (None, None)]
+    rng = random.Random(1)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    return df.withColumns({c: F.lit(None).cast("string") if i % 2 else F.lit("7") for i, c in enumerate(EXTRA)}).cache()
+
+
+@pytest.fixture(scope="module")
+def clean_docs(docs):
+    """One row a doc_id, for contracts that name a single row."""
+    return docs.where("doc_id > 0")
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.limit(0)
+
+
+def plain(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.collect()]
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def lines_brute(rows, least=20, docs=3):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate(lower)
+    held = defaultdict(list)
+    for i, t in rows:
+        for k in {key(x) for x in t.split("\n")}:
+            held[k].append(i)
+    out = []
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            k = key(x)
+            known = [d for d in held[k] if d is not None]
+            if len(k) < least or len(held[k]) < docs or i == (max(known) if known else None):
+                kept.append(x)
+        n = len(t.split("\n"))
+        out.append((i, n, n - len(kept), "\n".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 3), (4, 2), (5, 3)])
+def test_line_dedup(docs, batches, fanout):
+    out = line_dedup.dedup_lines(docs, batches=batches, fanout=fanout)
+    assert out.columns == [*docs.columns, "__n_lines", "__n_dropped", "__kept"]
+    got = Counter((r["doc_id"], r["__n_lines"], r["__n_dropped"], r["__kept"]) for r in out.collect())
+    assert got == Counter(lines_brute(plain(docs)))
+    assert sum(k[2] for k in got) > 5
+
+
+def test_line_dedup_is_native(docs):
+    plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def simhash_brute(t, k):
+    w = t.encode().lower().split()
+    grams = [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def groups_brute(names, linked):
+    parent = list(range(len(names)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(names)):
+        for j in range(i):
+            if linked(i, j):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, n in enumerate(names):
+        if n is not None:
+            least[find(i)] = min(n, least.get(find(i), n))
+    return [least.get(find(i)) for i in range(len(names))]
+
+
+@pytest.mark.parametrize("max_list", [1024, 2])
+def test_simhash(docs, max_list):
+    rows = plain(docs)
+    prints = [simhash_brute(t, 3) for _, t in rows]
+    want = groups_brute([i for i, _ in rows], lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    got = Counter((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_groups(docs, max_list=max_list).collect())
+    assert got == Counter((i, p, c) for (i, _), p, c in zip(rows, prints, want, strict=True))
+
+
+def test_simhash_lists_miss_no_link(spark):
+    rng = random.Random(4)
+    fps = set()
+    for _ in range(60):
+        x = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 9)):
+            fps.add(x)
+            for b in rng.sample(range(64), rng.randrange(1, 4)):
+                x ^= 1 << b
+    fps = sorted(fps)
+    want = groups_brute(fps, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for cap in (1024, 3, 1):
+        pairs = {(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in simhash.links(df, 2, cap).collect()}
+        assert all((a ^ b).bit_count() <= 2 for a, b in pairs)
+        assert groups_brute(fps, lambda i, j: (fps[i], fps[j]) in pairs or (fps[j], fps[i]) in pairs) == want
+
+
+@pytest.mark.parametrize("max_list", [512, 2])
+def test_similar_groups(docs, max_list):
+    rows = [(i, t) for i, t in plain(docs) if i is not None]
+    sets = [set(similar.shingle_set(t, 5).tolist()) for _, t in rows]
+    alike = lambda i, j: sets[i] == sets[j] or bool(sets[i] & sets[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = Counter(zip([i for i, _ in rows], groups_brute([i for i, _ in rows], alike), strict=True))
+    got = Counter((r["doc_id"], r["component_id"]) for r in similar.similar_groups(docs, max_list=max_list).collect())
+    assert got == want + Counter([(None, None)] * 2)
+    assert max(Counter(want.values()).values()) >= 1 and len({c for _, c in want}) < len(rows)
+
+
+@pytest.mark.parametrize("block", [50, 4000, 10**7])
+def test_substring_dedup(docs, block):
+    rows = plain(docs)
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    split = [[w for w in SPACE.split(t) if w] for _, t in rows]
+    first = {}
+    for k in order:
+        for p in range(len(split[k]) - 19):
+            first.setdefault(tuple(split[k][p : p + 20]), rows[k][0])
+    want = Counter()
+    for k, (i, _) in enumerate(rows):
+        gone, own = set(), set()
+        for p in range(len(split[k]) - 19):
+            w = tuple(split[k][p : p + 20])
+            if w in own or first[w] != i:
+                gone.update(range(p, p + 20))
+            own.add(w)
+        want[i, len(split[k]), len(gone), " ".join(w for p, w in enumerate(split[k]) if p not in gone)] += 1
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.cut_repeats(docs, block_chars=block).collect())
+    assert got == want and sum(k[2] for k in want) > 300
+
+
+def test_exact_dedup(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(i, t, SPACE.sub("", t)) for i, t in plain(docs)]
+    want = Counter()
+    for i, t, body in rows:
+        group = [(-len(u), j is None, j or 0, j) for j, u, b in rows if b == body]
+        best = min(group)
+        want[i, best[3] if len(group) > 1 else i, len(group), (i, -len(t)) == (best[3], best[0]), sha(body)] += 1
+    got = Counter(tuple(r) for r in exact_dedup.exact_groups(spark, str(tmp_path / "documents.parquet")).collect())
+    assert got == want
+
+
+def test_exact_state_takes_in_new_files_only(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    state = exact_dedup.ExactState(spark, str(tmp_path / "state"), max_bytes=1)
+    seen = []
+    for rows in ([(1, "a b"), (2, "ab")], [(3, " a b "), (4, "c")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        df.coalesce(1).write.mode("append").parquet(path)
+        state.ingest(path, df.schema)
+        seen.append(sorted((r["keep_id"], r["group_size"]) for r in state.table().collect()))
+        assert all("parquet#" in r["locator"] for r in state.table().collect())
+    assert seen == [[(1, 2)], [(3, 3), (4, 1)]]
+
+
+def test_exact_dedup_checks_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest", lambda text: F.substring(F.sha2(exact_dedup.without_spaces(exact_dedup.whole(text)), 256), 1, 1))
+    rows = [(i, f"text {i % 40}") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    for r in exact_dedup.exact_groups(spark, str(tmp_path / "d")).collect():
+        same = [i for i, _ in rows if i % 40 == r["doc_id"] % 40]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (min((-len(f"text {i % 40}"), i) for i in same)[1], len(same), r["doc_id"] == same[0])
+
+
+def test_exact_dedup_is_native(docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "d"))
+    plan = exact_dedup.exact_groups(docs.sparkSession, str(tmp_path / "d"))._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_ids_equal_the_library(name, texts):
+    rng = random.Random(6)
+    odd = ["  a  b ", " x", "a\n b\n\n c  \n", "é́ a b", "\x1c a", "<|endoftext|> a", "it's  I'll\t\tx", "ÀÉ,é!! ª º × ÷"]
+    odd += ["".join(rng.choice(" \n\ta1.é 　\'s中BÉ!-_ßÿ×") for _ in range(rng.randrange(25))) for _ in range(1500)]
+    tool = Tokenizer.from_file(public_tokenizers.path(name))
+    tool.encode_special_tokens = True
+    every = [t or "" for t in texts] + odd
+    want = [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch(every, add_special_tokens=False)]
+    assert tokens.Tokens(name).encode([*texts, *odd]) == want
+
+
+def test_range_coder():
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.3, 300_000), 60_000) - 1
+    table = rans.Table.of(*np.unique(ids, return_counts=True))
+    assert table.freq.sum() == 1 << table.bits and table.freq.min() >= 1
+    coder = rans.Coder(table)
+    for n in (0, 1, 2, rans.LANES - 1, rans.LANES, rans.LANES + 1, 300_000):
+        assert np.array_equal(coder.decode(coder.encode(ids[:n])), ids[:n])
+    block = coder.encode(ids)
+    n, marks, body = coder.checkpoints(block)
+    step = rans.ROWS * rans.LANES
+    for k, mark in enumerate(marks):  # from any checkpoint alone
+        assert np.array_equal(coder.decode_from(n, mark, body), ids[k * step : (k + 1) * step])
+    p = np.bincount(ids) / len(ids)
+    entropy = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    assert 8 * len(block) / len(ids) < entropy * 1.1 + 0.5
+    for at in (10, 200, len(block) - 3):
+        broken = bytearray(block)
+        broken[at] ^= 1
+        with pytest.raises((rans.Corrupt, IndexError, ValueError)):
+            coder.decode(bytes(broken))
+    one = rans.Coder(rans.Table.of(np.array([5]), np.array([9])))
+    assert np.array_equal(one.decode(one.encode(np.full(10, 5))), np.full(10, 5))
+
+
+def test_token_files(spark, docs, tmp_path):
+    tool = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rans.write(docs, str(tmp_path / "f"))
+    got = rans.read(spark, str(tmp_path / "f"), True).orderBy("start").collect()
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+    assert [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got] == sorted((i is not None, i or 0) for i, _ in plain(docs))
+    want = Counter((i, np.array([*tool.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in plain(docs))
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == want
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in got)
+
+
+def test_packing(docs):
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack(docs.coalesce(1), with_ids=True).collect()
+    sequences, by_doc = defaultdict(list), defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append(r)
+        by_doc[r["doc_id"]].append(r)
+        assert r["length"] * 4 == len(r["ids"]) and zlib.crc32(r["ids"]) == r["ids_crc32"] and r["length"] > 0
+    total = padding = 0
+    for s in sequences.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+        total, padding = total + at, padding + (2048 - at if at & (at - 1) else 0)
+    assert padding < 0.02 * total
+    for i, t in plain(docs.where("doc_id > 0")):
+        ids = np.array([*tool.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        parts = sorted(by_doc[i], key=lambda r: r["start"])
+        assert b"".join(r["ids"] for r in parts) == ids and {r["doc_tokens"] for r in parts} == {len(ids) // 4}
+        assert [r["start"] for r in parts] == np.cumsum([0, *[r["length"] for r in parts]])[:-1].tolist()
+
+
+def test_differencing():
+    rng = np.random.default_rng(2)
+    for m in (1, 2, 7, 40):
+        sizes = rng.integers(1, 500, 8 * m)
+        bins = packing.differencing(sizes, m)
+        loads = np.bincount(bins, weights=sizes, minlength=m)
+        assert len(loads) == m and loads.max() - loads.min() <= 60
+    assert packing.differencing(np.array([8, 7, 6, 5, 4]), 2).sum() in (2, 3)  # the textbook case: sums 16 and 14
+    bins = packing.windows(np.array([1500, 1500, 1500]), 2048)
+    assert sorted(bins.tolist()) == [0, 1, 2]
+
+
+def pii_brute(t):
+    digits = lambda s: [c for c in s if c in "0123456789"]
+    find = lambda p: [m.span() for m in re.finditer(p, t)]
+    out = [("email", *s) for s in find(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")]
+    out += [("ip", *s) for s in find(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)") if all(int(x) <= 255 for x in t[s[0] : s[1]].split("."))]
+    out += [("card", *s) for s in find(r"[0-9]([\x20-]?[0-9])+") if 16 <= len(digits(t[s[0] : s[1]])) <= 19 and pii.luhn("".join(digits(t[s[0] : s[1]])))]
+    return out + [("phone", *s) for s in find(r"\+[0-9][\x20().0-9-]+[0-9]") if 8 <= len(digits(t[s[0] : s[1]])) <= 15]
+
+
+def test_pii_base():
+    rng = random.Random(3)
+    for _ in range(8000):
+        t = "".join(rng.choice("a@.1+ -(%9é٣") for _ in range(rng.randrange(30)))
+        assert pii.base_spans(t) == pii_brute(t), t
+    long = "a" * 50_000 + " " + "1" * 50_000 + " " + "1." * 20_000 + "+1" * 20_000 + "@" * 1000
+    assert len(pii.base_spans(long)) >= 0
+
+
+def test_pii_field():
+    crf = pii.train()
+    hits = wrong = total = 0
+    for text, spans in pii._examples(150, 99):
+        base, every = pii.find(text, crf)
+        assert set(base) <= set(every)
+        found = {(s, e, k) for k, s, e in every}
+        hits, total, wrong = hits + len(found & set(spans)), total + len(spans), wrong + len(found - set(spans))
+    assert hits > 0.9 * total and wrong < 0.06 * total
+    text = 'The token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and plain words, 12 of them.'
+    assert pii.find(text, crf)[1] == [("secret", 4, 54)]
+    assert pii.find("Clean words at noon. Version 1.2.3 of 2024-11-26, 300 pages, ref 555-123-9876.", crf)[1] == []
+
+
+def test_semi_markov_gradient():
+    crf = pii.SemiCRF({"email|shape=spelled": 0.3, "O>O": 0.1})
+    text, spans = next(x for x in pii._examples(50, 5) if x[1])
+    toks = [m.span() for m in pii._TOKEN.finditer(text)]
+    first, last = {s: i for i, (s, _) in enumerate(toks)}, {e: i for i, (_, e) in enumerate(toks)}
+    gold = {(first[s], last[e]): k for s, e, k in spans}
+    g = crf.gradient(text, toks, gold)
+    assert abs(sum(v for f, v in g.items() if f.startswith("^>"))) < 1e-9  # one segment starts, whichever
+
+
+def test_pii_rows(docs):
+    rows = pii.detect(docs).collect()
+    texts = Counter(plain(docs))
+    assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in texts.elements())
+    want = Counter((i, *[sum(x[0] == k for x in pii_brute(t)) for k in pii.KINDS], sha(pii.listed(pii_brute(t)))) for i, t in plain(docs))
+    assert Counter((r["doc_id"], *[r[f"n_{k}"] for k in pii.KINDS], r["base_sha256"]) for r in rows) == want
+    masked = pii.mask(docs)
+    assert masked.columns == [*docs.columns, "masked"]
+    assert any("[EMAIL] or [PHONE], host [IP]" in r["masked"] and "4111111111111112" in r["masked"] for r in masked.collect())
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=6) / 3).astype("f4").tolist()) for i in range(300)]
+    rows[100], rows[7], rows[8] = (100, rows[99][1]), (7, rows[99][1]), (8, rows[99][1])
+    rows += [(301, None), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (303, [float("nan")] * 6), (304, [float("inf")] * 6), (None, [9.0] * 6), (350, [1.0, 2.0]), (400, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("w", F.lit(1))
+    use = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    use = [(i, np.pad(v, (0, 6 - len(v)))) for i, v in use]
+    want = []
+    for q, x in use:
+        if q % 50 == 0:
+            best = sorted((-int(x @ y), i) for i, y in use if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for block, cell, chunk in ((512, 16, 512), (16, 2, 3)):
+        assert sorted(tuple(r) for r in topk.top_k(df, block=block, blocks_a_cell=cell, chunk=chunk).collect()) == sorted(want)
+    assert topk.top_k(df.limit(0)).count() == 0
+    two = spark.createDataFrame([(0, [1e9, -3.0]), (1, [5e3, 7.5])], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(two).collect()] == [(1, int(np.floor(256 * float(np.float32(1e9)))) * 1280000 + -768 * 1920)]
+
+
+def test_sentencepiece(docs, texts):
+    tool = transducer.transducer("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    odd = ["", " ", "   a", " a  b   c    d", "▁x", "日本語 中", "\x00\x01", "á 😀😀 ñé"]
+    odd += ["".join(rng.choice("    abcthe1.é\n中😀ing▁") for _ in range(rng.randrange(25))) for _ in range(1500)]
+    for t in [t or "" for t in texts] + odd:
+        ids = np.frombuffer(tool.encode(t), "<u4").tolist()
+        assert ids == library.encode(t), t
+        assert tool.decode(tool.encode(t)) == t.replace("▁", " ")
+    rows = transducer.encode_and_decode(docs).collect()
+    assert len(rows) == docs.count() and all(r["round_trip"] for r in rows)
+
+
+def labelled(spark, n=600):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.7
+        t = words(rng, rng.randrange(5, 80), 150)
+        rows.append((i, t if good else "!! ".join(t.upper().split())))
+        labels.append((i, int(good)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int").withColumn("toxic", F.lit(0))
+
+
+def test_quality(spark, docs):
+    d, l = labelled(spark)
+    fit = quality.fit(d, l)
+    out = quality.score(d, fit).join(l, "doc_id").withColumn("held", quality.held_out(F.col("doc_id"))).collect()
+    assert sum((r["score"] >= 0.3) == r["quality"] for r in out if r["held"]) > 0.93 * sum(r["held"] for r in out)
+    assert [r["held"] for r in out] == [zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in out]
+    scored = quality.score(docs, fit)
+    assert sorted(scored.columns) == sorted(docs.columns) and all(0 <= r["score"] <= 1 for r in scored.collect())
+    assert quality.fit(d, l).curve == fit.curve
+    for none in (quality.fit(d, l.limit(0)), quality.fit(d.limit(0), l), quality.fit(d, l.withColumn("quality", F.lit(None).cast("int")))):
+        assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
+
+
+def test_held_out_labels_do_not_matter(spark):
+    d, l = labelled(spark, 300)
+    turned = l.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality.fit(d, l) == quality.fit(d, turned)
+
+
+@pytest.mark.parametrize("op", [
+    lambda d: line_dedup.dedup_lines(d), lambda d: simhash.near_groups(d), lambda d: similar.similar_groups(d), lambda d: substring_dedup.cut_repeats(d),
+    lambda d: pii.detect(d), lambda d: pii.mask(d), lambda d: packing.pack(d), lambda d: transducer.encode_and_decode(d), lambda d: rans.write_and_read(d),
+    lambda d: quality.score(d, quality.Model(b"", b"", (0.0, 0.0, 0.0, 0.0))),
+])
+def test_empty_tables(nothing, op):
+    assert op(nothing).count() == 0
+
+
+def test_empty_exact(spark, nothing, tmp_path):
+    nothing.write.parquet(str(tmp_path / "d"))
+    assert exact_dedup.exact_groups(spark, str(tmp_path / "d")).count() == 0
+
+
+def test_every_operator_has_its_query():
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
