@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardweave.llm.text import lower_ascii, strip, whole
-from shardweave.runtime import fresh_path, remove
+from shardweave.runtime import fresh_path, remove, settle
 
 KEY = ["__h1", "__h2"]
 
@@ -114,7 +114,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     row = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(whole(F.col("text"))).alias("__row")]
     lines = narrow.select(*row, F.explode(_hashes(F.col("text"), min_chars)).alias("h"))
     lines = lines.select("__id", "__row", F.col("h.pos").alias("__pos"), F.col("h.h1").alias("__h1"), F.col("h.h2").alias("__h2"))
-    gone = lines.join(runs.settled(), KEY).where(~F.col("__id").eqNullSafe(F.col("__last")))
+    common = settle(runs.settled(), "common-lines")  # a table, not an aggregate: only between plain shuffles are large partitions split
+    gone = lines.join(common, KEY).where(~F.col("__id").eqNullSafe(F.col("__last")))
     gone = gone.groupBy("__id", "__row").agg(F.collect_set("__pos").alias("__gone"))
     gone = gone.select(F.col("__id").alias("__gid"), F.col("__row").alias("__grow"), "__gone")
 
