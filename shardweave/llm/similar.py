@@ -6,7 +6,8 @@ fourteen. So here the fingerprint is wider and its bytes stand alone: byte p is
 the SimHash byte of sample p of the shingles, and a sample is the one shingle
 that comes first in an order of its own. Two texts share each positional byte
 with a chance of about their similarity. The rest is as in ``simhash``: an
-inverted index over byte positions (four a key), a tally of shared positional
+inverted index over byte positions (four a key; each position is in a key of
+neighbours and in one of a stride), a tally of shared positional
 bytes for the pairs of a posting list, those below a minimum dropped, and the
 links that are left verified on the whole shingle sets.
 
@@ -19,6 +20,7 @@ joins every part, so copies of one text meet it wherever they are dealt.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from shardweave.operators.components import components
 from shardweave.runtime import settle
 
 BYTES, KEY = 64, 4
+#: Chance that a pair just at the similarity shares fewer bytes than the minimum.
+MISS = 2e-6
 _rng = np.random.Generator(np.random.PCG64(20))
 _ORDERS = _rng.integers(0, 1 << 63, BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 2048
@@ -73,6 +77,14 @@ def _prints(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, sid long, sig binary")
 
 
+def minimum(similarity: float) -> int:
+    """The most positional bytes that a pair of ``similarity`` shares but for a chance of ``MISS``; bytes are equal independently."""
+    below, m = 0.0, 0
+    while m < BYTES and (below := below + comb(BYTES, m) * similarity**m * (1 - similarity) ** (BYTES - m)) <= MISS:
+        m += 1
+    return m
+
+
 def _matrix(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, BYTES)
 
@@ -94,7 +106,10 @@ def forest(sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
 
 
 def _candidates(distinct: DataFrame, least: int, max_list: int) -> DataFrame:
-    keys = F.array(*[F.struct(F.lit(i).alias("at"), F.substring("sig", KEY * i + 1, KEY).alias("bytes")) for i in range(BYTES // KEY)])
+    step = BYTES // KEY
+    keys = [F.substring("sig", KEY * i + 1, KEY) for i in range(step)]
+    keys += [F.concat(*[F.substring("sig", i + step * k + 1, 1) for k in range(KEY)]) for i in range(step)]
+    keys = F.array(*[F.struct(F.lit(i).alias("at"), k.alias("bytes")) for i, k in enumerate(keys)])
     posted = distinct.select("sid", "sig", F.explode(keys).alias("k")).select("sid", "sig", "k.at", "k.bytes")
     lists = posted.groupBy("at", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / max_list)).cast("long")
@@ -176,7 +191,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     prints = settle(_prints(known, shingle), "prints")
     one = prints.groupBy("sid").agg(F.min(F.struct("doc_id", "row", "sig")).alias("f"))  # the row that a set is read from again, to verify
     distinct = settle(one.select("sid", F.col("f.doc_id").alias("first"), "f.row", "f.sig"), "distinct")
-    least = int(BYTES * (similarity - 0.1))
+    least = minimum(similarity)
     pairs = settle(_candidates(distinct.select("sid", "sig"), least, max_list), "pairs")
     links = _verified(known, distinct, pairs, shingle, similarity)
     label = components(links, "a", "b").select(F.col("node").alias("sid"), "component")

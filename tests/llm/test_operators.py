@@ -169,6 +169,38 @@ def test_similar_groups(docs, max_list):
     assert max(Counter(want.values()).values()) >= 1 and len({c for _, c in want}) < len(rows)
 
 
+def similar_brute(texts):
+    """Components by all pairs of shingle sets, as one matrix product."""
+    sets = [similar.shingle_set(t, 5) for t in texts]
+    names = {h: k for k, h in enumerate(sorted({h for s in sets for h in s.tolist()}))}
+    m = np.zeros((len(sets), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [names[h] for h in s.tolist()]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    alike = both >= 0.8 * (n[:, None] + n[None, :] - both)
+    return groups_brute(list(range(len(sets))), lambda i, j: alike[i, j])
+
+
+def similar_found(spark, texts, **given):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return [r["component_id"] for r in sorted(similar.similar_groups(df, **given).collect(), key=lambda r: r["doc_id"])]
+
+
+def edited(base, places, tag):
+    return " ".join(f"{tag}x{i}" if i in places else w for i, w in enumerate(base))
+
+
+def test_similar_pairs_at_the_threshold(spark):
+    texts = []
+    for d in range(1500):  # 100 words, 96 shingles; two edits far apart change ten: 86 of 106
+        base = [f"d{d}w{i}" for i in range(100)]
+        texts += [" ".join(base), edited(base, (30, 60), d)]
+    a, b = (set(similar.shingle_set(t, 5).tolist()) for t in texts[:2])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.82
+    assert similar_found(spark, texts) == [i - i % 2 for i in range(len(texts))]
+    assert similar.minimum(0.8) == 35
+
+
 @pytest.mark.parametrize("block", [50, 4000, 10**7])
 def test_substring_dedup(docs, block):
     rows = plain(docs)
