@@ -11,7 +11,10 @@ neighbours and in one of a stride), a tally of shared positional
 bytes for the pairs of a posting list, those below a minimum dropped, and the
 links that are left verified on the whole shingle sets.
 
-Posting lists yield a spanning forest of greatest tallies, never all pairs. Lists
+Posting lists yield a spanning forest of greatest tallies first. A tally is
+noisy, so a tree edge may fail where another would have held: after verification
+the rows of a list that are still in different components give their other pairs,
+a few of the greatest tallies, then all that are left. Lists
 longer than ``max_list`` are dealt into parts by a hash that differs from key
 to key; the row closest to a part's consensus stands for it, the best of these
 joins every part, so copies of one text meet it wherever they are dealt.
@@ -37,6 +40,8 @@ MISS = 2e-6
 _rng = np.random.Generator(np.random.PCG64(20))
 _ORDERS = _rng.integers(0, 1 << 63, BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 2048
+#: Pairs that a row a forest left apart gives a list, before it gives all.
+FEW = 16
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -105,7 +110,8 @@ def forest(sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(distinct: DataFrame, least: int, max_list: int) -> DataFrame:
+def _postings(distinct: DataFrame, max_list: int) -> DataFrame:
+    """(at, bytes, sid, sig, n, parts, part) of every list of more than one; n is the list's length."""
     step = BYTES // KEY
     keys = [F.substring("sig", KEY * i + 1, KEY) for i in range(step)]
     keys += [F.concat(*[F.substring("sig", i + step * k + 1, 1) for k in range(KEY)]) for i in range(step)]
@@ -114,7 +120,12 @@ def _candidates(distinct: DataFrame, least: int, max_list: int) -> DataFrame:
     lists = posted.groupBy("at", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / max_list)).cast("long")
     part = F.when(F.col("n") <= max_list, F.lit(0)).otherwise(F.pmod(F.xxhash64("sid", "at"), parts))
-    met = settle(posted.join(lists, ["at", "bytes"]).withColumn("part", part), "postings")
+    dealt = posted.join(lists, ["at", "bytes"]).withColumn("parts", F.when(F.col("n") <= max_list, F.lit(1)).otherwise(parts).cast("long"))
+    return settle(dealt.withColumn("part", part), "postings")
+
+
+def _forests(met: DataFrame, least: int, max_list: int) -> DataFrame:
+    """(a, b): a forest of each part, with the list's head in it."""
 
     def gather(rows: DataFrame) -> DataFrame:  # a part has max_list rows at most, near enough
         return rows.groupBy("at", "bytes", "part").agg(F.collect_list(F.struct("sid", "sig")).alias("rows"))
@@ -150,6 +161,56 @@ def _candidates(distinct: DataFrame, least: int, max_list: int) -> DataFrame:
     return gather(rows).select("rows").mapInArrow(tally, "a long, b long").distinct()
 
 
+def _across(met: DataFrame, label: DataFrame, least: int, most: int | None) -> DataFrame:
+    """(a, b): pairs of a part whose rows are in different components and share ``least`` positional bytes.
+
+    Rows of the component that has most of a list are not compared with each
+    other; each other row gives its ``most`` greatest tallies, or all.
+    """
+    named = met.where("n > 2").join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    sizes = named.groupBy("at", "bytes", "component").agg(F.count(F.lit(1)).alias("k"))
+    lists = sizes.groupBy("at", "bytes").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("kinds"))
+    rest = named.join(lists.where("kinds > 1").select("at", "bytes", F.col("m.component").alias("main")), ["at", "bytes"])
+    guests = rest.where("component <> main")
+    rows = rest.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    groups = rows.groupBy("at", "bytes", "part").agg(F.collect_list(F.struct("sid", "sig", "component", "guest")).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group in b.column(0):
+                rows = group.as_py()
+                stay = [r for r in rows if not r["guest"]]
+                if not stay or len(stay) == len(rows):
+                    continue
+                m = _matrix([r["sig"] for r in stay])
+                sids, kinds = (np.array([r[c] for r in stay], np.int64) for c in ("sid", "component"))
+                for r in rows:
+                    if not r["guest"]:
+                        continue
+                    tally = (m == np.frombuffer(r["sig"], np.uint8)).sum(axis=1)
+                    at = np.flatnonzero((tally >= least) & (kinds != r["component"]))
+                    if most is not None and len(at) > most:
+                        at = at[np.argpartition(-tally[at], most)[:most]]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sids[at], r["sid"])), pa.array(np.maximum(sids[at], r["sid"]))], names=["a", "b"])
+
+    return groups.select("rows").mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(docs: DataFrame, distinct: DataFrame, least: int, max_list: int, shingle: int, similarity: float) -> DataFrame:
+    """Links that join what all verified pairs would: a forest by tally first, then what it left apart, until no pair is untested that could join two components."""
+    met = _postings(distinct.select("sid", "sig"), max_list)
+    tested = settle(_forests(met, least, max_list), "pairs")
+    links = settle(_verified(docs, distinct, tested, shingle, similarity), "links")
+    for most in (FEW, None):
+        label = components(links, "a", "b").select(F.col("node").alias("sid"), "component")
+        more = settle(_across(met, label, least, most).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links = links.unionByName(settle(_verified(docs, distinct, more, shingle, similarity), "links"))
+            tested = tested.unionByName(more)
+    return links
+
+
 def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs whose whole shingle sets are as similar as asked."""
 
@@ -192,8 +253,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     one = prints.groupBy("sid").agg(F.min(F.struct("doc_id", "row", "sig")).alias("f"))  # the row that a set is read from again, to verify
     distinct = settle(one.select("sid", F.col("f.doc_id").alias("first"), "f.row", "f.sig"), "distinct")
     least = minimum(similarity)
-    pairs = settle(_candidates(distinct.select("sid", "sig"), least, max_list), "pairs")
-    links = _verified(known, distinct, pairs, shingle, similarity)
+    links = _links(known, distinct, least, max_list, shingle, similarity)
     label = components(links, "a", "b").select(F.col("node").alias("sid"), "component")
     grouped = label.join(distinct.select("sid", "first"), "sid")
     leasts = grouped.groupBy("component").agg(F.min("first").alias("component_id"))

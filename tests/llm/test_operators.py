@@ -201,6 +201,15 @@ def test_similar_pairs_at_the_threshold(spark):
     assert similar.minimum(0.8) == 35
 
 
+def test_similar_copies_of_one_base(spark):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    texts = [" ".join(base)] + [edited(base, rng.sample(range(300), rng.randrange(5, 8)), c) for c in range(600)]
+    want = similar_brute(texts)
+    assert 1 < len(set(want)) < 200
+    assert similar_found(spark, texts, max_list=2000) == want
+
+
 @pytest.mark.parametrize("block", [50, 4000, 10**7])
 def test_substring_dedup(docs, block):
     rows = plain(docs)
