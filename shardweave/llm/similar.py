@@ -17,7 +17,9 @@ the rows of a list that are still in different components give their other pairs
 a few of the greatest tallies, then all that are left. Lists
 longer than ``max_list`` are dealt into parts by a hash that differs from key
 to key; the row closest to a part's consensus stands for it, the best of these
-joins every part, so copies of one text meet it wherever they are dealt.
+joins every part, so copies of one text meet it wherever they are dealt. Rows that
+this leaves apart visit all parts of their lists: a list costs its length, and
+the rows outside its main component times its parts.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ _ORDERS = _rng.integers(0, 1 << 63, BYTES, dtype=np.uint64) * np.uint64(2) + np.
 _CHUNK = 2048
 #: Pairs that a row a forest left apart gives a list, before it gives all.
 FEW = 16
+_GUESTS = 128
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -162,37 +165,39 @@ def _forests(met: DataFrame, least: int, max_list: int) -> DataFrame:
 
 
 def _across(met: DataFrame, label: DataFrame, least: int, most: int | None) -> DataFrame:
-    """(a, b): pairs of a part whose rows are in different components and share ``least`` positional bytes.
+    """(a, b): pairs of a list whose rows are in different components and share ``least`` positional bytes.
 
-    Rows of the component that has most of a list are not compared with each
-    other; each other row gives its ``most`` greatest tallies, or all.
+    Rows meet every part of their list, but those of the component that has most of it stay in
+    their own; each that travels gives a part its ``most`` greatest tallies, or all.
     """
     named = met.where("n > 2").join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     sizes = named.groupBy("at", "bytes", "component").agg(F.count(F.lit(1)).alias("k"))
     lists = sizes.groupBy("at", "bytes").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("kinds"))
     rest = named.join(lists.where("kinds > 1").select("at", "bytes", F.col("m.component").alias("main")), ["at", "bytes"])
-    guests = rest.where("component <> main")
+    guests = rest.where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rest.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
     groups = rows.groupBy("at", "bytes", "part").agg(F.collect_list(F.struct("sid", "sig", "component", "guest")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for group in b.column(0):
-                rows = group.as_py()
-                stay = [r for r in rows if not r["guest"]]
-                if not stay or len(stay) == len(rows):
-                    continue
-                m = _matrix([r["sig"] for r in stay])
-                sids, kinds = (np.array([r[c] for r in stay], np.int64) for c in ("sid", "component"))
-                for r in rows:
-                    if not r["guest"]:
-                        continue
-                    tally = (m == np.frombuffer(r["sig"], np.uint8)).sum(axis=1)
-                    at = np.flatnonzero((tally >= least) & (kinds != r["component"]))
-                    if most is not None and len(at) > most:
-                        at = at[np.argpartition(-tally[at], most)[:most]]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sids[at], r["sid"])), pa.array(np.maximum(sids[at], r["sid"]))], names=["a", "b"])
+            rows, ends = b.column(0).flatten(), np.cumsum(b.column(0).value_lengths().to_numpy())
+            sigs, guest = _matrix(rows.field("sig").to_pylist()), rows.field("guest").to_numpy(zero_copy_only=False)
+            sids, kinds = rows.field("sid").to_numpy(), rows.field("component").to_numpy()
+            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                stay, come = (start + np.flatnonzero(guest[start:end] == g) for g in (False, True))
+                for k in range(0, len(come), _GUESTS):
+                    some = come[k : k + _GUESTS]
+                    tally = (sigs[some][:, None] == sigs[stay][None]).sum(axis=2)
+                    tally[kinds[some][:, None] == kinds[stay][None]] = -1
+                    ok = tally >= least
+                    if most is not None and most < len(stay):
+                        first = np.zeros_like(ok)
+                        np.put_along_axis(first, np.argpartition(-tally, most, axis=1)[:, :most], True, axis=1)
+                        ok &= first
+                    x, y = np.nonzero(ok)
+                    if len(x):
+                        x, y = sids[some[x]], sids[stay[y]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return groups.select("rows").mapInArrow(run, "a long, b long").distinct()
 

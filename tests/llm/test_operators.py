@@ -210,6 +210,18 @@ def test_similar_copies_of_one_base(spark):
     assert similar_found(spark, texts, max_list=2000) == want
 
 
+def test_similar_copies_within_a_template(spark):
+    rng = random.Random(9)
+    template, texts = [f"t{i}" for i in range(200)], []
+    for g in range(150):  # 200 of 230 words are everyone's, yet no two groups are linked
+        base = template + [f"g{g}w{i}" for i in range(30)]
+        texts += [edited(base, rng.sample(range(205, 225), 2), f"{g}c{c}") for c in range(3)]
+    rng.shuffle(texts)
+    want = similar_brute(texts)
+    assert len(set(want)) == 150
+    assert similar_found(spark, texts, max_list=16) == want
+
+
 @pytest.mark.parametrize("block", [50, 4000, 10**7])
 def test_substring_dedup(docs, block):
     rows = plain(docs)
