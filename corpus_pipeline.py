@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shardweave.llm import packing, pii, quality
 from shardweave.llm.line_dedup import dedup_lines
-from shardweave.llm.similar import similar_groups
+from shardweave.llm.similar import row_hash, similar_rows
 from shardweave.runtime import settle
 
 THRESHOLD = 0.3
@@ -33,9 +33,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 the smallest doc_id stays; of rows that repeat it, each text once. Rows without doc_id stay."""
-    groups = similar_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(groups, docs["doc_id"] == groups["__gone"], "left_anti")
+    """Of documents linked by five-word shingles at 0.8 the smallest doc_id stays; decided for each row, so another text under a doc_id that goes stays. Of rows that repeat a doc_id, each text once. Rows without doc_id stay."""
+    gone = similar_rows(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("row").alias("__row")).distinct()
+    kept = docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (row_hash(docs["text"]) == gone["__row"]), "left_anti")
     return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id IS NULL"))
 
 

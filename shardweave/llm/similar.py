@@ -30,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardweave.operators.components import components
@@ -243,8 +243,18 @@ def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: i
     return both.mapInArrow(compare, "a long, b long")
 
 
+def row_hash(text: Column) -> Column:
+    """What tells rows of one doc_id apart; null texts are as empty ones."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_list: int = 512) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs`` (doc_id, text).
+    """(doc_id, component_id) for every row of ``docs``, as ``similar_rows`` has them."""
+    return similar_rows(docs, shingle, similarity, max_list).drop("row")
+
+
+def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_list: int = 512) -> DataFrame:
+    """(doc_id, row, component_id) for every row of ``docs`` (doc_id, text); row is ``row_hash`` of its text.
 
     Rows are linked where their sets of ``shingle``-word shingles (A-Z lower-cased)
     have a Jaccard similarity of ``similarity`` or more; component_id is the
@@ -264,5 +274,5 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     leasts = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = grouped.join(leasts, "component").select("sid", "component_id")
     named = distinct.join(linked, "sid", "left").select("sid", F.coalesce("component_id", "first").alias("component_id"))
-    found = prints.join(named, "sid").select("doc_id", "component_id")
-    return found.unionByName(rows.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("component_id")))
+    found = prints.join(named, "sid").select("doc_id", "row", "component_id")
+    return found.unionByName(rows.where("doc_id IS NULL").select("doc_id", row_hash(F.col("text")).alias("row"), F.lit(None).cast("long").alias("component_id")))

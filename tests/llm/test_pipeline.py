@@ -49,6 +49,15 @@ def test_stages(spark, tmp_path):
     assert whole == kept["packing"].agg(F.countDistinct("doc_id"), F.sum("length")).first()
 
 
+def test_near_copies_go_by_row(spark):
+    rng = random.Random(6)
+    base, other = words(rng, 150), words(rng, 90)
+    rows = [(1, base, 0), (2, base + " end", 1), (2, other, 2), (2, other, 3), (3, base.upper(), 4), (None, base, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gone long")
+    kept = corpus_pipeline.near_stage(spark, docs, "")
+    assert sorted(plain(kept), key=str) == sorted([(1, base), (2, other), (None, base)], key=str)
+
+
 def test_nothing_else_imports_the_text_operators():
     root = Path(__file__).resolve().parents[2]
     for p in root.glob("shardweave/**/*.py"):
