@@ -374,3 +374,9 @@ _SMALL = ", few AS (SELECT DISTINCT src, dst FROM raw_sparse WHERE src <> dst AN
 def components(spark, sf):
     e = fx.raw_edges(spark, sf, True).where("src <> dst AND eid % 7 = 0")
     return label_components(e.select("src", "dst").distinct())
+
+
+@query()
+def components_whole(spark, sf):
+    """Components of all cleaned edges; recursive SQL would hold all pairs of a component."""
+    return label_components(fx.edges(spark, sf))

@@ -42,6 +42,22 @@ def test_cover_is_the_least_volume(spark):
     assert rows == {"cover": 90, "degree": 90, "post": 96, "pre": 93}
 
 
+def test_components_of_all_edges(spark, con):
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in con.sql("SELECT l_partkey % c, l_orderkey % c FROM lineitem, (SELECT count(*) AS c FROM embeddings)").fetchall():
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    got = {r["node"]: r["component"] for r in catalogue.QUERIES["components_whole"](spark, str(SF)).collect()}
+    assert got == {x: find(x) for x in list(parent)}
+
+
 def test_contract(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
