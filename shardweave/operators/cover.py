@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from shardweave.operators.components import components
 
 
-def matching(adjacent: dict[int, list[int]]) -> dict[int, int]:
+def matching(adjacent: dict[int, array]) -> dict[int, int]:
     """A maximum matching, left to right; ``adjacent`` has the right neighbours of every left node. No recursion."""
     left: dict[int, int] = {}
     right: dict[int, int] = {}
@@ -46,11 +48,12 @@ def matching(adjacent: dict[int, list[int]]) -> dict[int, int]:
                     break
 
 
-def vertex_cover(edges: list[tuple[int, int]]) -> tuple[set[int], set[int]]:
-    """Left and right nodes of a minimum cover; its size is that of a maximum matching."""
-    adjacent: dict[int, list[int]] = {}
-    for u, v in sorted(set(edges)):
-        adjacent.setdefault(u, []).append(v)
+def vertex_cover(edges: list[tuple[int, int]] | np.ndarray) -> tuple[set[int], set[int]]:
+    """Left and right nodes of a minimum cover; its size is that of a maximum matching. Neighbours take eight bytes an edge."""
+    pairs = np.asarray(edges, np.int64).reshape(-1, 2)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    starts = np.flatnonzero(np.diff(pairs[:, 0], prepend=pairs[0, 0] - 1)).tolist() if len(pairs) else []
+    adjacent = {int(pairs[s, 0]): array("q", np.unique(pairs[s:e, 1]).tobytes()) for s, e in zip(starts, [*starts[1:], len(pairs)], strict=True)}
     left = matching(adjacent)
     right = {v: u for u, v in left.items()}
     seen_left = {u for u in adjacent if u not in left}
@@ -71,8 +74,8 @@ def covers(cut: DataFrame, max_edges: int = 200_000) -> DataFrame:
     """(src_part, dst_part, side, node): a minimum cover of each part pair's cut edges.
 
     A pair with more than ``max_edges`` edges is split into its connected
-    components, whose covers make up the pair's; a component beyond that is
-    left out here, and ``cover_modes`` takes the degree rule for it.
+    components, whose covers make up the pair's. No component is left out: one
+    beyond that is still covered whole, by one task that holds its edges.
     """
     cut = cut.select("src_part", "dst_part", "src", "dst").distinct()
     sizes = cut.groupBy("src_part", "dst_part").agg(F.count(F.lit(1)).alias("n"))
@@ -85,11 +88,10 @@ def covers(cut: DataFrame, max_edges: int = 200_000) -> DataFrame:
         ends = large.select("*", left.alias("l"), F.xxhash64("src_part", "dst_part", F.lit("r"), "dst").alias("r"))
         label = components(ends, "l", "r").select(F.col("node").alias("l"), F.col("component").alias("group"))
         parts = ends.join(label, "l").drop("l", "r", "n")
-        counts = parts.groupBy("src_part", "dst_part", "group").agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.unionByName(parts.join(counts, ["src_part", "dst_part", "group"]).where(F.col("n") <= max_edges))
+        rows = rows.drop("n").unionByName(parts)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = vertex_cover(list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)))
+        left, right = vertex_cover(pdf[["src", "dst"]].to_numpy(np.int64))
         out = [(key[0], key[1], "src", n) for n in sorted(left)] + [(key[0], key[1], "dst", n) for n in sorted(right)]
         return pd.DataFrame(out, columns=["src_part", "dst_part", "side", "node"]).astype({"src_part": "int64", "dst_part": "int64", "node": "int64"})
 

@@ -33,10 +33,7 @@ def degree_modes(cut: DataFrame) -> DataFrame:
 
 
 def cover_modes(cut: DataFrame, max_edges: int = 200_000) -> DataFrame:
-    """Mode by a minimum vertex cover of each part pair (J3, E6): post where the source is covered, the least rows sent.
-
-    Edges of components too large for one task take the degree rule.
-    """
+    """Mode by a minimum vertex cover of each part pair (J3, E6): post where the source is covered, the least rows sent."""
     cover = covers(cut, max_edges)
     left = cover.where("side = 'src'").select(*PAIR, F.col("node").alias("src"), F.lit(True).alias("__l"))
     right = cover.where("side = 'dst'").select(*PAIR, F.col("node").alias("dst"), F.lit(True).alias("__r"))

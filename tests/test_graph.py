@@ -120,6 +120,15 @@ def test_large_pairs_are_split(spark):
     assert exchange.cover_modes(p, 1).count() == 7  # every component too large: the degree rule
 
 
+def test_no_component_is_left_out(spark):
+    rng = random.Random(5)
+    e = [(rng.randrange(30), 100 + rng.randrange(30)) for _ in range(90)]
+    rows = cover.covers(pairs(spark, *map(list, zip(*e, strict=True))), 1).collect()
+    left, right = ({r["node"] for r in rows if r["side"] == s} for s in ("src", "dst"))
+    assert all(u in left or v in right for u, v in e)
+    assert len(rows) == sum(map(len, cover.vertex_cover(e)))
+
+
 def test_send_and_receive_lists(spark):
     p = pairs(spark, [0, 2, 2, 2, 4, 4, 5, 5], [1, 1, 2, 4, 4, 3, 6, 3]).withColumn("mode", F.when(F.expr("(src, dst) IN ((0L, 1L), (4L, 4L), (4L, 3L), (5L, 3L))"), "pre").otherwise("post"))
     assert sorted((d, s) for s, d in got(exchange.sent(p), "src", "dst")) == sorted((d, s) for s, d in [(0, 1), (2, 2), (4, 3), (5, 3), (4, 4), (5, 5)])
