@@ -7,10 +7,11 @@ arithmetic is in doubles; packed bytes are integers of 0 to 255.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardweave.operators.normalise import bind
+from shardweave.operators.running import running
 
 WIDTHS = (8, 4, 2)
 
@@ -80,7 +81,7 @@ def pack_down(quantised: DataFrame, rank: str, bits: int, width: int) -> DataFra
     Ranks are padded apart. Nodes are in order of node_id within their rank.
     """
     per = 8 // bits
-    at = quantised.withColumn("__k", F.row_number().over(Window.partitionBy(rank).orderBy("node_id")) - 1)
+    at = running(quantised.select(rank, "node_id", "code"), [rank], ["node_id"], name="__k")
     shift = F.lit(per - 1) - F.col("__k") % per
     cells = [F.bit_or(F.get("code", F.lit(j)) * F.pow(F.lit(2), shift * bits).cast("int")).alias(f"c{j}") for j in range(width)]
     rows = at.groupBy(rank, F.floor(F.col("__k") / per).cast("long").alias("byte_row")).agg(*cells)
@@ -90,7 +91,7 @@ def pack_down(quantised: DataFrame, rank: str, bits: int, width: int) -> DataFra
 def unpack_down(packed: DataFrame, nodes: DataFrame, rank: str, bits: int) -> DataFrame:
     """(node_id, par, restored values as feat) from packed rows and the nodes' (rank, node_id, par)."""
     per = 8 // bits
-    at = nodes.withColumn("__k", F.row_number().over(Window.partitionBy(rank).orderBy("node_id")) - 1)
+    at = running(nodes.select(rank, "node_id", "par"), [rank], ["node_id"], name="__k")
     at = at.withColumn("byte_row", F.floor(F.col("__k") / per).cast("long"))
     shift = F.pow(F.lit(2), (F.lit(per - 1) - F.col("__k") % per) * bits)
     code = F.transform("packed", lambda b: F.floor(b / shift) % (1 << bits))
@@ -103,25 +104,33 @@ def buffer_size(n: Column, bits: int, width: int) -> Column:
 
 
 def share(node: Column, salt: int = 0) -> Column:
-    """A number in [0, 1) for an id, the same every time: a linear congruence of it."""
-    return (((node + salt) * 1103515245 + 12345) % 2147483648) / 2147483648.0
+    """A number in [0, 1) for an id, the same every time: a linear congruence of it. Ids of any size and sign."""
+    return ((F.pmod(node + salt, F.lit(1 << 31)) * 1103515245 + 12345) % 2147483648) / 2147483648.0
 
 
-def assign_bits(nodes: DataFrame, shares: dict[int, float] | int, epoch: int = 0, period: int = 1) -> DataFrame:
-    """(node_id, num_bits): one width for all, or drawn by ``shares`` of 8, 4 and 2 bits and drawn anew every ``period`` epochs (K9, M2)."""
+def scatter(x: Column) -> Column:
+    """A number in [0, 2^31) for an integer, far from those of its neighbours: shifts, exclusive ors and products, which SQL has too."""
+    x = F.pmod(x, F.lit(1 << 31))
+    for _ in range(2):
+        x = x.bitwiseXOR(F.shiftright(x, 16)) * 73244475 % 2147483648
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def assign_bits(node: Column, shares: dict[int, float] | int, epoch: int = 0, period: int = 1) -> Column:
+    """Bits of a node: one width for all, or drawn by ``shares`` of 8, 4 and 2 bits and drawn anew every ``period`` epochs (K9, M2)."""
     if isinstance(shares, int):
-        return nodes.select("node_id", F.lit(shares).alias("num_bits"))
-    u, total, at, pick = share(F.col("node_id"), epoch // period), sum(shares.values()), 0.0, None
+        return F.lit(shares)
+    u, total, at, pick = share(node, epoch // period), sum(shares.values()), 0.0, F
     for bits, p in shares.items():
         at += p / total
-        pick = F.when(u < at, bits) if pick is None else pick.when(u < at, bits)
-    return nodes.select("node_id", pick.otherwise(list(shares)[-1]).alias("num_bits"))
+        pick = pick.when(u < at, bits)
+    return pick.otherwise(list(shares)[-1])
 
 
 def bfloat16(x: Column) -> Column:
     """x to eight significant bits, ties to even, as the exchange sends 16-bit floats (C14, Q13)."""
     x = x.cast("double")
-    guess = F.floor(F.log2(F.abs(x)))
+    guess = F.floor(F.log2(F.abs(x))).cast("double")
     power = F.when(F.pow(F.lit(2.0), guess) > F.abs(x), guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= F.abs(x), guess + 1).otherwise(guess)
     unit = F.pow(F.lit(2.0), power - 7)
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x / unit) * unit)
+    return F.when(x == 0, F.lit(0.0)).when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.rint(x / unit) * unit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardweave.runtime import settle
+from shardweave.runtime import discard, settle
 
 #: Up to this width a row of sums is one aggregate over an array; beyond, rows are (node, j, value).
 WIDE = 256
@@ -34,12 +34,18 @@ def aggregate(edges: DataFrame, feats: DataFrame, width: int, reduce: str = "sum
         raise ValueError(f"reduce: one of {REDUCES}")
     rows = gathered(edges, feats, "src" if by == "dst" else "dst")
     w = F.col(weight) if weight else F.lit(1.0)
+    return reduced(rows.select(F.col(by).alias("node_id"), "x", *([w.alias("w")] if weight else [])), ["node_id"], "x", width, reduce, "w" if weight else None)
+
+
+def reduced(rows: DataFrame, by: list[str], x: str, width: int, reduce: str = "sum", weight: str | None = None) -> DataFrame:
+    """(by, feat): the reduction of the arrays ``x`` place by place, over any number of rows."""
     if width <= WIDE:
-        cells = [_reduce(F.get("x", F.lit(j)).cast("double") * w if weight else F.get("x", F.lit(j)).cast("double"), reduce) for j in range(width)]
-        return rows.groupBy(F.col(by).alias("node_id")).agg(*[c.alias(f"c{j}") for j, c in enumerate(cells)]).select("node_id", F.array(*[f"c{j}" for j in range(width)]).alias("feat"))
-    long = rows.select(F.col(by).alias("node_id"), F.posexplode("x").alias("j", "v"), w.alias("w"))
-    cell = long.groupBy("node_id", "j").agg(_reduce(F.col("v").cast("double") * F.col("w"), reduce).alias("v"))
-    return cell.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("c")).select("node_id", F.col("c.v").alias("feat"))
+        cells = [F.get(x, F.lit(j)).cast("double") for j in range(width)]
+        cells = [_reduce(c * F.col(weight) if weight else c, reduce).alias(f"c{j}") for j, c in enumerate(cells)]
+        return rows.groupBy(*by).agg(*cells).select(*by, F.array(*[f"c{j}" for j in range(width)]).alias("feat"))
+    long = rows.select(*by, F.posexplode(x).alias("j", "v"), (F.col(weight) if weight else F.lit(1.0)).alias("__w"))
+    cell = long.groupBy(*by, "j").agg(_reduce(F.col("v").cast("double") * F.col("__w"), reduce).alias("v"))
+    return cell.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("c")).select(*by, F.col("c.v").alias("feat"))
 
 
 def dense(nodes: DataFrame, rows: DataFrame, width: int, fill: float = 0.0) -> DataFrame:
@@ -55,10 +61,9 @@ def arg_reduce(edges: DataFrame, feats: DataFrame, j: int, most: bool) -> DataFr
     return gathered(edges, feats).groupBy(F.col("dst").alias("node_id")).agg(pick.alias("p")).select("node_id", F.col("p.eid").alias("eid"))
 
 
-def add(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Row-wise sum of two (node_id, feat) tables; rows of either stay."""
-    rows = a.unionByName(b).groupBy("node_id").agg(F.collect_list("feat").alias("f"))  # one or two rows a node
-    return rows.select("node_id", F.when(F.size("f") == 1, F.col("f")[0]).otherwise(F.zip_with(F.col("f")[0], F.get("f", F.lit(1)), lambda x, y: x + y)).alias("feat"))
+def add(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """Sum by node of two (node_id, feat) tables, with any number of rows a node (F11, Q1); nodes of either stay."""
+    return reduced(a.unionByName(b), ["node_id"], "feat", width)
 
 
 def sampled_products(edges: DataFrame, feats: DataFrame, grads: DataFrame, mean: bool = False) -> DataFrame:
@@ -78,9 +83,12 @@ def flops(edges: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, feats: DataFrame, nodes: DataFrame, width: int, hops: int, weight: str | None = None) -> list[DataFrame]:
-    """Features after 1..hops aggregations (I10); each hop is a written table, so lineage doesn't grow."""
+    """Features after 1..hops aggregations (I10); each hop is a written table, so lineage doesn't grow. Edges are written once, as often as they are read."""
     out, now = [], feats
+    if hops > 1:
+        edges = settle(edges.select("src", "dst", *([weight] if weight else [])), "hop-edges")
     for _ in range(hops):
         now = settle(dense(nodes, aggregate(edges, now, width, "sum", weight), width), "hop")
         out.append(now)
+    discard(edges)
     return out

@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardweave.operators.aggregate import aggregate
+from shardweave.functions.codec import PLAIN, Codec, decode, encode
+from shardweave.operators.aggregate import aggregate, reduced
 from shardweave.operators.cover import covers
+from shardweave.operators.running import running
+from shardweave.runtime import settle
 
 PAIR = ["src_part", "dst_part"]
 
@@ -26,20 +29,24 @@ def demand(cut: DataFrame) -> DataFrame:
 
 
 def degree_modes(cut: DataFrame) -> DataFrame:
-    """Mode by the degree rule (J2, E7): post where the source has more edges into the part than the destination has from it."""
-    out = F.count(F.lit(1)).over(Window.partitionBy(*PAIR, "src"))
-    into = F.count(F.lit(1)).over(Window.partitionBy(*PAIR, "dst"))
-    return cut.withColumn("mode", F.when(out > into, "post").otherwise("pre"))
+    """Mode by the degree rule (J2, E7): post where the source has more edges into the part than the destination has from it.
+
+    Degrees are counted with partial aggregates and joined, so a hub's edges can be split over tasks.
+    """
+    out = cut.groupBy(*PAIR, "src").agg(F.count(F.lit(1)).alias("__out"))
+    into = cut.groupBy(*PAIR, "dst").agg(F.count(F.lit(1)).alias("__into"))
+    ruled = cut.join(out, [*PAIR, "src"]).join(into, [*PAIR, "dst"])
+    return ruled.select(*cut.columns, F.when(F.col("__out") > F.col("__into"), "post").otherwise("pre").alias("mode"))
 
 
 def cover_modes(cut: DataFrame, max_edges: int = 200_000) -> DataFrame:
     """Mode by a minimum vertex cover of each part pair (J3, E6): post where the source is covered, the least rows sent."""
-    cover = covers(cut, max_edges)
+    cover = settle(covers(cut, max_edges), "cover")
     left = cover.where("side = 'src'").select(*PAIR, F.col("node").alias("src"), F.lit(True).alias("__l"))
     right = cover.where("side = 'dst'").select(*PAIR, F.col("node").alias("dst"), F.lit(True).alias("__r"))
-    ruled = degree_modes(cut).join(left, [*PAIR, "src"], "left").join(right, [*PAIR, "dst"], "left")
-    mode = F.when(F.col("__l").isNotNull(), "post").when(F.col("__r").isNotNull(), "pre").otherwise(F.col("mode"))
-    return ruled.withColumn("mode", mode).drop("__l", "__r")
+    ruled = cut.join(left, [*PAIR, "src"], "left").join(right, [*PAIR, "dst"], "left")
+    mode = F.when(F.col("__l").isNotNull(), "post").when(F.col("__r").isNotNull(), "pre")  # every edge has a covered end
+    return ruled.select(*cut.columns, mode.alias("mode"))
 
 
 def constant_modes(cut: DataFrame, mode: str) -> DataFrame:
@@ -47,15 +54,20 @@ def constant_modes(cut: DataFrame, mode: str) -> DataFrame:
 
 
 def sent(planned: DataFrame) -> DataFrame:
-    """Edges on the sending side (J4, D-5): those of pre as they are, and (src, src) once for each source of post."""
+    """Edges on the sending side (J4, D-5): those of pre as they are, and (src, src) once for each source of post.
+
+    ``at`` is a row's place in its part pair's list, which is in order of dst (H2).
+    """
     pre = planned.where("mode = 'pre'").select(*PAIR, "src", "dst")
-    return pre.unionByName(planned.where("mode = 'post'").select(*PAIR, "src", F.col("src").alias("dst")).distinct())
+    rows = pre.unionByName(planned.where("mode = 'post'").select(*PAIR, "src", F.col("src").alias("dst")).distinct())
+    return running(rows, PAIR, ["dst", "src"], name="at")
 
 
 def received(planned: DataFrame) -> DataFrame:
-    """Edges on the receiving side (J5, D-6): those of post as they are, and (dst, dst) once for each destination of pre."""
+    """Edges on the receiving side (J5, D-6): those of post as they are, and (dst, dst) once for each destination of pre; ``at`` in order of src (H2)."""
     post = planned.where("mode = 'post'").select(*PAIR, "src", "dst")
-    return post.unionByName(planned.where("mode = 'pre'").select(*PAIR, F.col("dst").alias("src"), "dst").distinct())
+    rows = post.unionByName(planned.where("mode = 'pre'").select(*PAIR, F.col("dst").alias("src"), "dst").distinct())
+    return running(rows, PAIR, ["src", "dst"], name="at")
 
 
 def messages(planned: DataFrame) -> DataFrame:
@@ -81,11 +93,10 @@ def part_volumes(volume: DataFrame) -> DataFrame:
 def renumber(cut: DataFrame, local: DataFrame) -> DataFrame:
     """(dst_part, src, dst, remote_id): sources of a part's cut edges numbered in order after its own nodes (G1, H1).
 
-    ``local`` has (part, nodes). Numbers are made over distinct sources, so the windows hold a row a needed node.
+    ``local`` has (part, nodes). Numbers are made over distinct sources.
     """
-    needed = demand(cut).select("dst_part", "src").distinct()
-    rank = F.row_number().over(Window.partitionBy("dst_part").orderBy("src")) - 1
-    numbered = needed.withColumn("r", rank).join(local.select(F.col("part").alias("dst_part"), "nodes"), "dst_part")
+    needed = cut.select("dst_part", "src").distinct()
+    numbered = running(needed, ["dst_part"], ["src"], name="r").join(local.select(F.col("part").alias("dst_part"), "nodes"), "dst_part")
     ids = numbered.select("dst_part", "src", (F.col("r") + F.col("nodes")).alias("remote_id"))
     return cut.select("dst_part", "src", "dst").join(ids, ["dst_part", "src"])
 
@@ -95,7 +106,7 @@ def remap_ids(rows: DataFrame, block: str, id_: str) -> DataFrame:
     distinct = rows.select(block, id_).distinct()
     sizes = distinct.groupBy(block).agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(block, F.coalesce(F.sum("n").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row a block
-    inner = distinct.withColumn("__k", F.row_number().over(Window.partitionBy(block).orderBy(id_)) - 1).join(before, block)
+    inner = running(distinct, [block], [id_], name="__k").join(before, block)
     return rows.join(inner.select(block, id_, (F.col("__before") + F.col("__k")).cast("long").alias("new_id")), [block, id_])
 
 
@@ -109,8 +120,8 @@ def ranges(volume: DataFrame, to: str = "dst_part", of: str = "src_part") -> Dat
 def byte_ranges(bits: DataFrame, width: int, group: str, order: str) -> DataFrame:
     """(group, order, begin, end): packed bytes of each row, ceil(bits * width / 8), as running sums."""
     size = F.ceil(F.col("num_bits") * width / 8).cast("long")
-    end = F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return bits.select(group, order, (end - size).alias("begin"), end.alias("end"))
+    placed = running(bits.select(group, order, "num_bits"), [group], [order], size, "begin")
+    return placed.select(group, order, "begin", (F.col("begin") + size).alias("end"))
 
 
 def byte_splits(bits: DataFrame, width: int, group: str) -> DataFrame:
@@ -118,26 +129,48 @@ def byte_splits(bits: DataFrame, width: int, group: str) -> DataFrame:
     return bits.groupBy(group).agg(F.sum(F.ceil(F.col("num_bits") * width / 8).cast("long")).alias("bytes"))
 
 
-def aggregate_planned(local: DataFrame, planned: DataFrame, feats: DataFrame, width: int, weight: str | None = None) -> DataFrame:
+def reversed_plan(planned: DataFrame) -> DataFrame:
+    """The plan of the edges turned round (F10): the same rows cross, the other way. What was summed before is now sent once, and the reverse."""
+    turned = F.when(F.col("mode") == "pre", "post").otherwise("pre")
+    rest = [c for c in planned.columns if c not in ("src", "dst", "src_part", "dst_part", "mode")]
+    return planned.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_part").alias("src_part"), F.col("src_part").alias("dst_part"), turned.alias("mode"), *rest)
+
+
+def aggregate_planned(local: DataFrame, planned: DataFrame, feats: DataFrame, width: int, weight: str | None = None, codec: Codec = PLAIN) -> DataFrame:
     """(node_id, feat): sums over local and cut edges with the cut exchanged as planned.
 
     Pre: summed by (src_part, dst), and the sums again by dst. Post: each source
     row goes once to a destination part and is joined with that part's edges
-    there. All three branches end in one sum.
+    there. Rows that cross are packed by ``codec`` (J15-J20) before the shuffle
+    and restored after it; local rows are never touched. All three branches end
+    in a table dealt by node, so that joining them moves nothing more.
     """
     keep = [weight] if weight else []
     own = aggregate(local, feats, width, "sum", weight)
-    pre = planned.where("mode = 'pre'").select("src", "dst", "src_part", *keep)
-    joined = pre.join(feats.select(F.col("node_id").alias("src"), "feat"), "src")
-    pre_sums = _sums(joined, ["src_part", "dst"], width, weight).select(F.col("dst").alias("node_id"), "feat")
+    source = feats.select(F.col("node_id").alias("src"), "feat")
+    pre = planned.where("mode = 'pre'").select("src", "dst", "src_part", *keep).join(source, "src")
+    made = reduced(pre, ["src_part", "dst"], "feat", width, "sum", weight).withColumnRenamed("dst", "node_id")
+    if codec.packs:
+        made = decode(encode(made, "node_id", width, codec).repartition("node_id"), width, codec)
+    pre_sums = reduced(made, ["node_id"], "feat", width)
     post = planned.where("mode = 'post'")
-    shipped = demand(post).join(feats.select(F.col("node_id").alias("src"), "feat"), "src").select("dst_part", "src", "feat")
-    arrived = post.select("dst_part", "src", "dst", *keep).join(shipped, ["dst_part", "src"])
-    post_sums = _sums(arrived, ["dst"], width, weight).withColumnRenamed("dst", "node_id")
-    return _sums(own.unionByName(pre_sums).unionByName(post_sums), ["node_id"], width)
-
-
-def _sums(rows: DataFrame, by: list[str], width: int, weight: str | None = None) -> DataFrame:
-    cell = [F.get("feat", F.lit(j)).cast("double") for j in range(width)]
-    sums = [F.sum(c * F.col(weight) if weight else c).alias(f"c{j}") for j, c in enumerate(cell)]
-    return rows.groupBy(*by).agg(*sums).select(*by, F.array(*[f"c{j}" for j in range(width)]).alias("feat"))
+    shipped = demand(post).join(source, "src").select("dst_part", F.col("src").alias("node_id"), "feat")
+    edges = post.select("dst_part", F.col("src").alias("node_id"), "dst", *keep)
+    if codec.packs:
+        arrived = decode(edges.join(encode(shipped, "node_id", width, codec), ["dst_part", "node_id"]), width, codec)
+    else:
+        arrived = edges.join(shipped, ["dst_part", "node_id"])
+    post_sums = reduced(arrived, ["dst"], "feat", width, "sum", weight).withColumnRenamed("dst", "node_id")
+    return _joined([own, pre_sums, post_sums])
+
+
+def _joined(tables: list[DataFrame]) -> DataFrame:
+    """The sum by node of tables that have a row a node each and are dealt by node."""
+    out = tables[0].withColumnRenamed("feat", "f0")
+    for i, t in enumerate(tables[1:], 1):
+        out = out.join(t.withColumnRenamed("feat", f"f{i}"), "node_id", "full")
+    rows = [F.col(f"f{i}") for i in range(len(tables))]
+    total = rows[0]
+    for r in rows[1:]:
+        total = F.when(total.isNull(), r).when(r.isNull(), total).otherwise(F.zip_with(total, r, lambda x, y: x + y))
+    return out.select("node_id", total.alias("feat"))

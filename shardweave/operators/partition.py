@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardweave.operators.running import running
+
 
 def part_of(node: Column, nodes: int, parts: int) -> Column:
     """Part of a node where parts are equal ranges of ids (E5); no join needed."""
@@ -24,16 +26,11 @@ def assign_hash(nodes: DataFrame, parts: int) -> DataFrame:
 def assign_balanced(weights: DataFrame, parts: int, weight: str = "w_in_degree", buckets: int = 4096) -> DataFrame:
     """Contiguous parts of near-equal weight (I13): a node's part is its running weight over a part's share.
 
-    The running sum is made in two levels, within ranges of ids and over the ranges' totals, so no task sorts all nodes.
+    The running sum is made in two levels, so no task sorts all nodes.
     """
     w = weights.select("node_id", (F.col(weight) + 1).cast("long").alias("w"))
-    b = w.agg(F.max("node_id").alias("top"), F.sum("w").alias("total"))
-    w = w.crossJoin(F.broadcast(b)).withColumn("range", F.floor(F.col("node_id") * buckets / (F.col("top") + 1)).cast("long"))
-    totals = w.groupBy("range").agg(F.sum("w").alias("all"))
-    before = totals.select("range", F.coalesce(F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inner = F.coalesce(F.sum("w").over(Window.partitionBy("range").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    run = w.withColumn("inner", inner).join(before, "range")
-    return run.select("node_id", F.floor((F.col("before") + F.col("inner")) * parts / F.col("total")).cast("long").alias("part"))
+    run = running(w, [], ["node_id"], F.col("w"), ranges=buckets).crossJoin(F.broadcast(w.agg(F.sum("w").alias("total"))))  # one row
+    return run.select("node_id", F.floor(F.col("before") * parts / F.col("total")).cast("long").alias("part"))
 
 
 def bounds(assigned: DataFrame) -> DataFrame:
@@ -41,10 +38,19 @@ def bounds(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("part").agg(F.min("node_id").alias("begin"), (F.max("node_id") + 1).alias("end"))
 
 
-def owner(rows: DataFrame, node: str, parts: DataFrame, name: str) -> DataFrame:
-    """The part that owns ``node``, by the boundary table (E5); one row a part, so it is broadcast."""
-    p = F.broadcast(parts.select(F.col("part").alias(name), F.col("begin").alias("__b"), F.col("end").alias("__e")))
-    return rows.join(p, (F.col(node) >= F.col("__b")) & (F.col(node) < F.col("__e"))).drop("__b", "__e")
+def owner(rows: DataFrame, node: str, parts: DataFrame, name: str, buckets: int = 4096) -> DataFrame:
+    """The part that owns ``node``, by the boundary table (E5); rows outside all parts go.
+
+    Ids are dealt into ``buckets`` equal ranges and each part into those it
+    touches, so rows meet the few parts of their range by an equi-join.
+    """
+    p = parts.where("begin < end").select(F.col("part").alias(name), F.col("begin").alias("__b"), F.col("end").alias("__e"))
+    ends = p.agg(F.min("__b").alias("__low"), F.ceil((F.max("__e") - F.min("__b")) / buckets).cast("long").alias("__wide"))  # one row
+    bucket = lambda c: F.floor((c - F.col("__low")) / F.col("__wide")).cast("long")
+    grid = p.crossJoin(F.broadcast(ends)).withColumn("__bucket", F.explode(F.sequence(bucket(F.col("__b")), bucket(F.col("__e") - 1)))).drop("__low", "__wide")
+    placed = rows.crossJoin(F.broadcast(ends)).withColumn("__bucket", bucket(F.col(node)))
+    found = placed.join(grid, (placed["__bucket"] == grid["__bucket"]) & (placed[node] >= grid["__b"]) & (placed[node] < grid["__e"]))
+    return found.select(*[placed[c] for c in rows.columns], name)
 
 
 def split_edges(edges: DataFrame, count: int, parts: int) -> DataFrame:

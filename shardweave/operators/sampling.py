@@ -1,11 +1,12 @@
-"""Sampling and work splitting as queries (M1-M4, N1-N4, C9). Draws are hashes or congruences of ids: the same every time, on any cluster."""
+"""Sampling and work splitting as queries (M1-M4, N1-N4, C9). Draws are congruences of ids: the same every time, on any cluster."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardweave.functions.quantise import share
+from shardweave.functions.quantise import scatter, share
+from shardweave.operators.running import running
 
 
 def thin(mask: Column, node: Column, ratio: float, salt: int = 0) -> Column:
@@ -28,14 +29,14 @@ def multinomial(node: Column, weights: dict[str, float], salt: int = 0) -> Colum
 
 
 def choose(rows: DataFrame, key: str, k: int, salt: int = 0) -> DataFrame:
-    """``k`` rows without replacement (M3): those of the least hashes; each task keeps k rows at most."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(salt)), key).limit(k)
+    """``k`` rows without replacement (M3): those of the least draws; each task keeps k rows at most."""
+    return rows.orderBy(share(F.col(key), salt), key).limit(k)
 
 
 def choose_weighted(rows: DataFrame, key: str, weight: str, k: int, salt: int = 0) -> DataFrame:
     """``k`` rows without replacement in proportion to a weight (M3): least -ln(u) / weight."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-    return rows.where(F.col(weight) > 0).orderBy(-F.ln(u) / F.col(weight), key).limit(k)
+    u = 1 - share(F.col(key), salt)  # in (0, 1]
+    return rows.where(F.col(weight) > 0).orderBy(F.round(-F.ln(u) / F.col(weight), 12), key).limit(k)
 
 
 def split_rows(flops: DataFrame, workers: int) -> DataFrame:
@@ -53,14 +54,13 @@ def split_even(n: int, workers: int, unit: int = 1) -> list[tuple[int, int]]:
 
 def rank_blocks(rows: DataFrame, rank: str, unit: int, workers: int) -> DataFrame:
     """(rank, node_id, worker): rows of a rank dealt in whole packing units, no unit across ranks."""
-    k = F.row_number().over(Window.partitionBy(rank).orderBy("node_id")) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(rank))
-    size = F.ceil(F.ceil(n / workers) / unit) * unit
-    return rows.select(rank, "node_id", F.floor(k / size).cast("long").alias("worker"))
+    sizes = rows.groupBy(rank).agg((F.ceil(F.ceil(F.count(F.lit(1)) / workers) / unit) * unit).alias("__size"))
+    placed = running(rows.select(rank, "node_id"), [rank], ["node_id"], name="__k").join(sizes, rank)
+    return placed.select(rank, "node_id", F.floor(F.col("__k") / F.col("__size")).cast("long").alias("worker"))
 
 
 def gaussian(rows: DataFrame, node: str, width: int, seed: int = 0) -> DataFrame:
-    """(node_id, feat): normal features (M4, A7) by the Box-Muller transform of two hashes a cell."""
-    u = lambda j, s: (F.pmod(F.xxhash64(F.col(node), j, F.lit(seed), F.lit(s)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    """(node_id, feat): normal features (M4, A7) by the Box-Muller transform of two draws a cell; width 500,000,000 at most."""
+    u = lambda j, s: (scatter(scatter(F.col(node)) + j * 2 + (seed * 1000003 + s)) + 1) / float(1 << 31)
     cell = lambda j: F.sqrt(-2 * F.ln(u(j, 0))) * F.cos(2 * 3.141592653589793 * u(j, 1))
     return rows.select(F.col(node).alias("node_id"), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: cell(j).cast("float")).alias("feat"))

@@ -23,7 +23,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_edges(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    """(src, dst, eid); eid orders occurrences of an edge."""
+    """(src, dst, eid); eid orders occurrences of an edge. ``sparse`` is the graph whose exchange volumes are known by other means; only the queries of volumes take it."""
     n = count(spark, sf_dir)
     rows = table(spark, sf_dir, "lineitem")
     if sparse:
@@ -53,7 +53,8 @@ dense AS (SELECT DISTINCT src, dst FROM raw_dense WHERE src <> dst),
 sparse AS (SELECT DISTINCT src, dst FROM raw_sparse WHERE src <> dst),
 w AS (SELECT ceil(c / {PARTS}.0)::BIGINT AS width FROM n),
 part AS (SELECT node_id, node_id // width AS part FROM nodes, w),
-cut AS (SELECT src, dst, src // width AS src_part, dst // width AS dst_part FROM sparse, w WHERE src // width <> dst // width),
+cut AS (SELECT src, dst, src // width AS src_part, dst // width AS dst_part FROM dense, w WHERE src // width <> dst // width),
+cut_sparse AS (SELECT src, dst, src // width AS src_part, dst // width AS dst_part FROM sparse, w WHERE src // width <> dst // width),
 split AS (SELECT node_id, CASE WHEN node_id < c * 6 // 10 THEN 'train' WHEN node_id < c * 8 // 10 THEN 'test' ELSE 'valid' END AS split FROM nodes, n),
 f AS (SELECT node_id, unnest(feat)::DOUBLE AS v, (generate_subscripts(feat, 1) - 1)::INTEGER AS j FROM nodes)
 """

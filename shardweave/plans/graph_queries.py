@@ -22,13 +22,8 @@ def cells(rows: DataFrame, digits: int | None = None) -> DataFrame:
 # Cleaning
 
 
-@query(with_graph("SELECT src, dst, min(eid)::BIGINT AS eid FROM raw_sparse WHERE src <> dst GROUP BY src, dst"))
-def edges_clean(spark, sf):
-    return prep.clean(fx.raw_edges(spark, sf, True))
-
-
 @query(with_graph("SELECT src, dst, min(eid)::BIGINT AS eid FROM raw_dense WHERE src <> dst GROUP BY src, dst"))
-def edges_clean_dense(spark, sf):
+def edges_clean(spark, sf):
     return prep.clean(fx.raw_edges(spark, sf))
 
 
@@ -55,14 +50,14 @@ def edges_symmetric(spark, sf):
     return prep.symmetrise(fx.edges(spark, sf))
 
 
-@query(with_graph("SELECT src, dst, min(eid)::BIGINT AS eid FROM (SELECT src, dst, eid FROM raw_sparse UNION ALL SELECT dst, src, eid FROM raw_sparse) WHERE src <> dst GROUP BY ALL UNION ALL SELECT node_id, node_id, -1 FROM nodes"))
+@query(with_graph("SELECT src, dst, min(eid)::BIGINT AS eid FROM (SELECT src, dst, eid FROM raw_dense UNION ALL SELECT dst, src, eid FROM raw_dense) WHERE src <> dst GROUP BY ALL UNION ALL SELECT node_id, node_id, -1 FROM nodes"))
 def edges_symmetric_with_loops(spark, sf):
-    return prep.clean(fx.raw_edges(spark, sf, True), symmetric=True, loops=True, nodes=fx.nodes(spark, sf))
+    return prep.clean(fx.raw_edges(spark, sf), symmetric=True, loops=True, nodes=fx.nodes(spark, sf))
 
 
-@query(with_graph("SELECT src, dst, min(eid)::BIGINT AS eid FROM raw_sparse WHERE src <> dst GROUP BY ALL UNION ALL SELECT node_id, node_id, -1 FROM nodes"))
+@query(with_graph("SELECT src, dst, min(eid)::BIGINT AS eid FROM raw_dense WHERE src <> dst GROUP BY ALL UNION ALL SELECT node_id, node_id, -1 FROM nodes"))
 def edges_with_loops(spark, sf):
-    return prep.with_loops(prep.clean(fx.raw_edges(spark, sf, True)), fx.nodes(spark, sf))
+    return prep.with_loops(prep.clean(fx.raw_edges(spark, sf)), fx.nodes(spark, sf))
 
 
 @query(with_graph("SELECT src, dst, min(eid)::BIGINT AS eid, 0::BIGINT AS etype FROM raw_dense WHERE src <> dst GROUP BY src, dst"))
@@ -73,14 +68,14 @@ def edges_processed(spark, sf):
 _DEGREE = "SELECT node_id, {} AS deg FROM nodes LEFT JOIN (SELECT dst, count(*) AS k FROM {} GROUP BY dst) ON dst = node_id"
 
 
-@query(with_graph(_DEGREE.format("coalesce(k, 0)::BIGINT", "sparse")))
+@query(with_graph(_DEGREE.format("coalesce(k, 0)::BIGINT", "dense")))
 def in_degree(spark, sf):
-    return prep.in_degree(fx.nodes(spark, sf), fx.edges(spark, sf, True))
+    return prep.in_degree(fx.nodes(spark, sf), fx.edges(spark, sf))
 
 
-@query(with_graph(_DEGREE.format("greatest(coalesce(k, 0), 1)::BIGINT", "sparse")))
+@query(with_graph(_DEGREE.format("greatest(coalesce(k, 0), 1)::BIGINT", "dense")))
 def in_degree_clamped(spark, sf):
-    return prep.in_degree(fx.nodes(spark, sf), fx.edges(spark, sf, True), 1)
+    return prep.in_degree(fx.nodes(spark, sf), fx.edges(spark, sf), 1)
 
 
 @query(with_graph(_DEGREE.format("coalesce(k, 0)::BIGINT", "raw_dense")))
@@ -116,9 +111,9 @@ def part_bounds(spark, sf):
     return partition.bounds(part_assign(spark, sf))
 
 
-@query(with_graph("SELECT src, dst, p.part AS src_part FROM sparse JOIN part p ON src = node_id"))
+@query(with_graph("SELECT src, dst, p.part AS src_part FROM dense JOIN part p ON src = node_id"))
 def part_owner(spark, sf):
-    return partition.owner(fx.edges(spark, sf, True), "src", part_bounds(spark, sf), "src_part")
+    return partition.owner(fx.edges(spark, sf), "src", part_bounds(spark, sf), "src_part")
 
 
 @query(with_graph("SELECT node_id, floor(before * 4 / total)::BIGINT AS part FROM (SELECT node_id, coalesce(sum(k) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(k) OVER () AS total FROM (SELECT node_id, coalesce(c, 0) + 1 AS k FROM nodes LEFT JOIN (SELECT dst, count(*) AS c FROM dense GROUP BY dst) ON dst = node_id))"))
@@ -126,10 +121,10 @@ def part_balanced(spark, sf):
     return partition.assign_balanced(prep.in_degree(fx.nodes(spark, sf), fx.edges(spark, sf)).withColumnRenamed("deg", "w_in_degree"), PARTS)
 
 
-_SPLIT = "SELECT src, dst, src // width AS src_part, dst // width AS dst_part, src // width = dst // width AS is_local{} FROM sparse, w"
+_SPLIT = "SELECT src, dst, src // width AS src_part, dst // width AS dst_part, src // width = dst // width AS is_local{} FROM dense, w"
 
 
-def _split(spark, sf, sparse=True):
+def _split(spark, sf, sparse=False):
     return partition.split_edges(fx.edges(spark, sf, sparse), fx.count(spark, sf), PARTS)
 
 
@@ -140,14 +135,14 @@ def edge_split(spark, sf):
 
 @query(with_graph(_SPLIT.format(", src % width AS src_local, dst % width AS dst_local")))
 def edge_localised(spark, sf):
-    return partition.localise(fx.edges(spark, sf, True), fx.count(spark, sf), PARTS)
+    return partition.localise(fx.edges(spark, sf), fx.count(spark, sf), PARTS)
 
 
-@query(with_graph("SELECT CASE WHEN src BETWEEN width AND 2 * width - 1 THEN src - width ELSE src END AS src, dst - width AS dst, src BETWEEN width AND 2 * width - 1 AS is_local FROM sparse, w WHERE dst // width = 1"))
+@query(with_graph("SELECT CASE WHEN src BETWEEN width AND 2 * width - 1 THEN src - width ELSE src END AS src, dst - width AS dst, src BETWEEN width AND 2 * width - 1 AS is_local FROM dense, w WHERE dst // width = 1"))
 def edge_split_one_part(spark, sf):
     n = fx.count(spark, sf)
     width = -(-n // PARTS)
-    into = fx.edges(spark, sf, True).where(F.col("dst").between(width, 2 * width - 1))
+    into = fx.edges(spark, sf).where(F.col("dst").between(width, 2 * width - 1))
     return partition.split_by_range(into, width, 2 * width - 1)
 
 
@@ -181,12 +176,12 @@ def index_mask(spark, sf):
 
 @query(with_graph("SELECT count(*)::BIGINT AS edges, count_if(src // width <> dst // width)::BIGINT AS cut FROM dense, w"))
 def edge_cut(spark, sf):
-    return partition.edge_cut(_split(spark, sf, False))
+    return partition.edge_cut(_split(spark, sf))
 
 
 @query(with_graph("SELECT part, nodes, in_edges::BIGINT AS in_edges, cut_in::BIGINT AS cut_in FROM (SELECT part, count(*)::BIGINT AS nodes FROM part GROUP BY part) JOIN (SELECT dst // width AS p, count(*) AS in_edges, count_if(src // width <> dst // width) AS cut_in FROM dense, w GROUP BY ALL) ON p = part"))
 def part_balance(spark, sf):
-    return partition.balance(_split(spark, sf, False), part_assign(spark, sf))
+    return partition.balance(_split(spark, sf), part_assign(spark, sf))
 
 
 # Aggregation
@@ -223,21 +218,21 @@ def _powers(spark, sf):
     return fx.nodes(spark, sf).select("node_id", F.array(*[(F.lit(1) + (F.col("node_id") + j) % 2).cast("double") for j in range(4)]).alias("feat"))
 
 
-_POWERS = "SELECT e.dst AS node_id, j::INTEGER AS j, {} AS v FROM sparse e, range(4) t(j) GROUP BY e.dst, j"
+_POWERS = "SELECT e.dst AS node_id, j::INTEGER AS j, {} AS v FROM dense e, range(4) t(j) GROUP BY e.dst, j"
 
 
 @query(with_graph(_POWERS.format("product((1 + (src + j) % 2)::DOUBLE)")))
 def agg_prod(spark, sf):
-    return cells(agg.aggregate(fx.edges(spark, sf, True), _powers(spark, sf), 4, "mul"))
+    return cells(agg.aggregate(fx.edges(spark, sf), _powers(spark, sf), 4, "mul"))
 
 
 @query(with_graph(_POWERS.format("1 / product((1 + (src + j) % 2)::DOUBLE)")))
 def agg_div(spark, sf):
-    return cells(agg.aggregate(fx.edges(spark, sf, True), _powers(spark, sf), 4, "div"))
+    return cells(agg.aggregate(fx.edges(spark, sf), _powers(spark, sf), 4, "div"))
 
 
-def _weighted(spark, sf, sparse=False):
-    return fx.edges(spark, sf, sparse).withColumn("w", ((F.col("src") + 2 * F.col("dst")) % 4 + 1).cast("double") / 4)
+def _weighted(spark, sf):
+    return fx.edges(spark, sf).withColumn("w", ((F.col("src") + 2 * F.col("dst")) % 4 + 1).cast("double") / 4)
 
 
 @query(with_graph(_LONG.format("sum(v * ((e.src + 2 * e.dst) % 4 + 1)::DOUBLE / 4)", "dense")))
@@ -250,40 +245,43 @@ def agg_transpose(spark, sf):
     return cells(agg.aggregate(fx.edges(spark, sf), _feats(spark, sf), WIDTH, by="src"))
 
 
-@query(with_graph("SELECT n.node_id, j::INTEGER AS j, coalesce(v, 0) AS v FROM nodes n CROSS JOIN range(64) t(j) LEFT JOIN (SELECT e.dst, f.j AS k, sum(v) AS v FROM sparse e JOIN f ON f.node_id = e.src GROUP BY ALL) ON dst = n.node_id AND k = j"))
+@query(with_graph("SELECT n.node_id, j::INTEGER AS j, coalesce(v, 0) AS v FROM nodes n CROSS JOIN range(64) t(j) LEFT JOIN (SELECT e.dst, f.j AS k, sum(v) AS v FROM dense e JOIN f ON f.node_id = e.src GROUP BY ALL) ON dst = n.node_id AND k = j"))
 def agg_dense(spark, sf):
-    return cells(agg.dense(fx.nodes(spark, sf), agg.aggregate(fx.edges(spark, sf, True), _feats(spark, sf), WIDTH), WIDTH))
+    return cells(agg.dense(fx.nodes(spark, sf), agg.aggregate(fx.edges(spark, sf), _feats(spark, sf), WIDTH), WIDTH))
 
 
-@query(with_graph("SELECT node_id, j, sum(v) AS v FROM (SELECT e.dst AS node_id, f.j, f.v FROM sparse e JOIN f ON f.node_id = e.src UNION ALL SELECT node_id, j, v FROM f WHERE node_id % 2 = 0) GROUP BY ALL"))
+@query(with_graph("SELECT node_id, j, sum(v) AS v FROM (SELECT e.dst AS node_id, f.j, f.v FROM dense e JOIN f ON f.node_id = e.src UNION ALL SELECT node_id, j, v * k FROM f, range(1, 4) t(k) WHERE node_id % 2 = 0 OR k = 3) GROUP BY ALL"))
 def scatter_add(spark, sf):
-    return cells(agg.add(agg.aggregate(fx.edges(spark, sf, True), _feats(spark, sf), WIDTH), _feats(spark, sf).where("node_id % 2 = 0").select("node_id", F.col("feat").cast("array<double>").alias("feat"))))
+    """Sums, and rows that repeat a node: one for odd nodes, three for even ones."""
+    own = _feats(spark, sf).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)]))).where("node_id % 2 = 0 OR k = 3")
+    more = own.select("node_id", F.transform("feat", lambda x: x.cast("double") * F.col("k")).alias("feat"))
+    return cells(agg.add(agg.aggregate(fx.edges(spark, sf), _feats(spark, sf), WIDTH), more, WIDTH))
 
 
-_ARG = "SELECT dst AS node_id, arg_{}(eid, (v, {}))::BIGINT AS eid FROM (SELECT src, dst, min(eid) AS eid FROM raw_sparse WHERE src <> dst GROUP BY ALL) e JOIN f ON f.node_id = e.src AND j = 0 GROUP BY dst"
+_ARG = "SELECT dst AS node_id, arg_{}(eid, (v, {}))::BIGINT AS eid FROM (SELECT src, dst, min(eid) AS eid FROM raw_dense WHERE src <> dst GROUP BY ALL) e JOIN f ON f.node_id = e.src AND j = 0 GROUP BY dst"
 
 
 @query(with_graph(_ARG.format("min", "eid")))
 def agg_arg_min(spark, sf):
-    return agg.arg_reduce(prep.clean(fx.raw_edges(spark, sf, True)), _feats(spark, sf), 0, False)
+    return agg.arg_reduce(prep.clean(fx.raw_edges(spark, sf)), _feats(spark, sf), 0, False)
 
 
 @query(with_graph(_ARG.format("max", "-eid")))
 def agg_arg_max(spark, sf):
-    return agg.arg_reduce(prep.clean(fx.raw_edges(spark, sf, True)), _feats(spark, sf), 0, True)
+    return agg.arg_reduce(prep.clean(fx.raw_edges(spark, sf)), _feats(spark, sf), 0, True)
 
 
-_SDDMM = "SELECT src, dst, round(sum(a.v * b.v){}, 6) AS v FROM sparse JOIN f a ON a.node_id = src JOIN f b ON b.node_id = dst AND a.j = b.j {} GROUP BY src, dst{}"
+_SDDMM = "SELECT src, dst, round(sum(a.v * b.v){}, 6) + 0 AS v FROM dense JOIN f a ON a.node_id = src JOIN f b ON b.node_id = dst AND a.j = b.j {} GROUP BY src, dst{}"
 
 
 @query(with_graph(_SDDMM.format("", "", "")))
 def sddmm(spark, sf):
-    return agg.sampled_products(fx.edges(spark, sf, True), _feats(spark, sf), _feats(spark, sf)).withColumn("v", F.round("v", 6))
+    return agg.sampled_products(fx.edges(spark, sf), _feats(spark, sf), _feats(spark, sf)).withColumn("v", F.round("v", 6) + 0.0)
 
 
-@query(with_graph(_SDDMM.format(" / d", "JOIN (SELECT dst AS k, count(*) AS d FROM sparse GROUP BY dst) ON k = dst", ", d")))
+@query(with_graph(_SDDMM.format(" / d", "JOIN (SELECT dst AS k, count(*) AS d FROM dense GROUP BY dst) ON k = dst", ", d")))
 def sddmm_mean(spark, sf):
-    return agg.sampled_products(fx.edges(spark, sf, True), _feats(spark, sf), _feats(spark, sf), True).withColumn("v", F.round("v", 6))
+    return agg.sampled_products(fx.edges(spark, sf), _feats(spark, sf), _feats(spark, sf), True).withColumn("v", F.round("v", 6) + 0.0)
 
 
 @query(with_graph("SELECT dst AS node_id, sum(((src + 2 * dst) % 4 + 1)::DOUBLE / 4) AS flops FROM dense GROUP BY dst"))
@@ -296,15 +294,15 @@ def flops_per_row(spark, sf):
 _NORM = """, {d}deg AS (SELECT node_id, count(e.dst) AS d FROM nodes LEFT JOIN {e} e ON e.dst = node_id GROUP BY node_id),
 {d}norm AS (SELECT src, dst, (CASE WHEN a.d > 0 THEN pow(a.d, -0.5) ELSE 0 END) * (CASE WHEN b.d > 0 THEN pow(b.d, -0.5) ELSE 0 END) AS w FROM {e} JOIN {d}deg a ON a.node_id = src JOIN {d}deg b ON b.node_id = dst)
 """
-_LOOPED = ", looped AS (SELECT src, dst FROM sparse UNION ALL SELECT node_id, node_id FROM nodes)"
+_LOOPED = ", looped AS (SELECT src, dst FROM dense UNION ALL SELECT node_id, node_id FROM nodes)"
 
 
 def _norm(spark, sf, loops):
-    e, nodes = fx.edges(spark, sf, True), fx.nodes(spark, sf)
+    e, nodes = fx.edges(spark, sf), fx.nodes(spark, sf)
     return normalise.symmetric(normalise.unit_loops(e, nodes) if loops else e, nodes)
 
 
-@query(with_graph(_NORM.format(d="p", e="sparse") + "SELECT src, dst, round(w, 9) AS w FROM pnorm"))
+@query(with_graph(_NORM.format(d="p", e="dense") + "SELECT src, dst, round(w, 9) AS w FROM pnorm"))
 def gcn_norm_weights(spark, sf):
     return _norm(spark, sf, False).withColumn("w", F.round("w", 9))
 
@@ -324,7 +322,7 @@ def _hops(spark, sf, loops):
     return cells(out, 6).withColumn("v", F.col("v") + 0.0)
 
 
-@query(with_graph(_NORM.format(d="p", e="sparse") + _HOPS.format(d="p")))
+@query(with_graph(_NORM.format(d="p", e="dense") + _HOPS.format(d="p")))
 def khop_2_noloop(spark, sf):
     return _hops(spark, sf, False)
 
@@ -360,23 +358,16 @@ def column_moments(spark, sf):
     return m.select("j", F.round("mean", 9).alias("mean"), F.round("square", 9).alias("square"))
 
 
-@query(with_graph(_NORM.format(d="p", e="sparse") + "SELECT node_id, round(v / d, 9) + 0 AS v, j FROM (SELECT dst, j, sum(v) AS v FROM sparse JOIN f ON f.node_id = src GROUP BY ALL) JOIN pdeg ON node_id = dst"))
+@query(with_graph(_NORM.format(d="p", e="dense") + "SELECT node_id, round(v / d, 9) + 0 AS v, j FROM (SELECT dst, j, sum(v) AS v FROM dense JOIN f ON f.node_id = src GROUP BY ALL) JOIN pdeg ON node_id = dst"))
 def degree_mean(spark, sf):
-    e = fx.edges(spark, sf, True)
+    e = fx.edges(spark, sf)
     rows = agg.aggregate(e, _feats(spark, sf), WIDTH)
     return cells(normalise.by_degree(rows, prep.in_degree(fx.nodes(spark, sf), e, 1)), 9).withColumn("v", F.col("v") + 0.0)
 
 
-_SMALL = ", few AS (SELECT DISTINCT src, dst FROM raw_sparse WHERE src <> dst AND eid % 7 = 0), both_ways AS (SELECT src, dst FROM few UNION SELECT dst, src FROM few), reach(node, other) AS (SELECT src, src FROM both_ways UNION SELECT node, dst FROM reach JOIN both_ways ON src = other)"
+_REACH = ", both_ways AS (SELECT src, dst FROM dense UNION SELECT dst, src FROM dense), reach(node, other) AS (SELECT src, src FROM both_ways UNION SELECT node, dst FROM reach JOIN both_ways ON src = other)"
 
 
-@query(with_graph(_SMALL + " SELECT node, min(other)::BIGINT AS component FROM reach GROUP BY node"))
+@query(with_graph(_REACH + " SELECT node, min(other)::BIGINT AS component FROM reach GROUP BY node"))
 def components(spark, sf):
-    e = fx.raw_edges(spark, sf, True).where("src <> dst AND eid % 7 = 0")
-    return label_components(e.select("src", "dst").distinct())
-
-
-@query()
-def components_whole(spark, sf):
-    """Components of all cleaned edges; recursive SQL would hold all pairs of a component."""
     return label_components(fx.edges(spark, sf))

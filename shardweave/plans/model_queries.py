@@ -33,8 +33,8 @@ def _signless(rows):
     return cells(rows, 6).withColumn("v", F.col("v") + 0.0)
 
 
-_CTE = f""", w1 AS {_w(1)}, w2 AS {_w(2)}, deg AS (SELECT node_id, count(e.dst) AS dg FROM nodes LEFT JOIN sparse e ON e.dst = node_id GROUP BY node_id),
-total AS (SELECT n.node_id, t.j::INTEGER AS j, coalesce(s, 0) AS s FROM nodes n CROSS JOIN range(64) t(j) LEFT JOIN (SELECT dst, f.j AS jj, sum(v) AS s FROM sparse JOIN f ON f.node_id = src GROUP BY ALL) ON dst = n.node_id AND jj = t.j),
+_CTE = f""", w1 AS {_w(1)}, w2 AS {_w(2)}, deg AS (SELECT node_id, count(e.dst) AS dg FROM nodes LEFT JOIN dense e ON e.dst = node_id GROUP BY node_id),
+total AS (SELECT n.node_id, t.j::INTEGER AS j, coalesce(s, 0) AS s FROM nodes n CROSS JOIN range(64) t(j) LEFT JOIN (SELECT dst, f.j AS jj, sum(v) AS s FROM dense JOIN f ON f.node_id = src GROUP BY ALL) ON dst = n.node_id AND jj = t.j),
 image AS (SELECT node_id, o AS j, sum(v * w) + o / 10.0 AS v FROM f JOIN w1 ON k = f.j GROUP BY node_id, o)
 """
 
@@ -64,7 +64,7 @@ def log_softmax(spark, sf):
 @query(with_graph(_CTE + """SELECT t.node_id, a.o AS j, round(sum(s / greatest(dg, 1) * b.w + v * a.w) + a.o / 10.0, 6) + 0 AS v
     FROM total t JOIN deg ON deg.node_id = t.node_id JOIN f ON f.node_id = t.node_id AND f.j = t.j JOIN w1 a ON a.k = t.j JOIN w2 b ON b.k = t.j AND b.o = a.o GROUP BY t.node_id, a.o"""))
 def sage_layer(spark, sf):
-    return _signless(model.sage_layer(fx.edges(spark, sf, True), _feats(spark, sf), fx.nodes(spark, sf), weights(WIDTH, OUT, 2), weights(WIDTH, OUT, 1), bias(OUT)))
+    return _signless(model.sage_layer(fx.edges(spark, sf), _feats(spark, sf), fx.nodes(spark, sf), weights(WIDTH, OUT, 2), weights(WIDTH, OUT, 1), bias(OUT)))
 
 
 @query(with_graph(_LOOPED + _NORM.format(d="q", e="looped") + f""", w1 AS {_w(1)}, s AS (SELECT dst AS node_id, j, sum(v * w) AS v FROM qnorm JOIN f ON f.node_id = src GROUP BY ALL)
@@ -76,7 +76,7 @@ def gcn_layer(spark, sf):
 @query(with_graph(_CTE + """SELECT t.node_id, o AS j, round(sum((s + v) / (dg + 1) * w) + o / 10.0, 6) + 0 AS v
     FROM total t JOIN deg ON deg.node_id = t.node_id JOIN f ON f.node_id = t.node_id AND f.j = t.j JOIN w1 ON k = t.j GROUP BY t.node_id, o"""))
 def sage_old_layer(spark, sf):
-    return _signless(model.old_sage_layer(fx.edges(spark, sf, True), _feats(spark, sf), fx.nodes(spark, sf), weights(WIDTH, OUT, 1), bias(OUT)))
+    return _signless(model.old_sage_layer(fx.edges(spark, sf), _feats(spark, sf), fx.nodes(spark, sf), weights(WIDTH, OUT, 1), bias(OUT)))
 
 
 def _marked(spark, sf):
@@ -93,7 +93,7 @@ def mask_label_concat(spark, sf):
     return _signless(d.label_rows(_feats(spark, sf), _marked(spark, sf), weights(10, 4, 4), True))
 
 
-_HOP = f""", h AS (SELECT n.node_id, t.j::INTEGER AS j, coalesce(s, 0) AS v FROM nodes n CROSS JOIN range(64) t(j) LEFT JOIN (SELECT dst, f.j AS jj, sum(v) AS s FROM sparse JOIN f ON f.node_id = src GROUP BY ALL) ON dst = n.node_id AND jj = t.j),
+_HOP = f""", h AS (SELECT n.node_id, t.j::INTEGER AS j, coalesce(s, 0) AS v FROM nodes n CROSS JOIN range(64) t(j) LEFT JOIN (SELECT dst, f.j AS jj, sum(v) AS s FROM dense JOIN f ON f.node_id = src GROUP BY ALL) ON dst = n.node_id AND jj = t.j),
 w1 AS {_w(1)}, w2 AS {_w(2)}, share AS (SELECT exp(0.2) / (exp(0.2) + exp(0.7)) AS a, exp(0.7) / (exp(0.2) + exp(0.7)) AS b),
 x1 AS (SELECT node_id, o, sum(v * w) AS v FROM f JOIN w1 ON k = f.j GROUP BY ALL), x2 AS (SELECT node_id, o, sum(v * w) AS v FROM h JOIN w2 ON k = h.j GROUP BY ALL),
 y1 AS (SELECT node_id, o, a * v / greatest(sqrt(sum(v * v) OVER (PARTITION BY node_id)), 1e-12) AS v FROM x1, share),
@@ -103,7 +103,7 @@ y2 AS (SELECT node_id, o, b * v / greatest(sqrt(sum(v * v) OVER (PARTITION BY no
 
 def _selected(spark, sf, how):
     x, nodes = _feats(spark, sf), fx.nodes(spark, sf)
-    hop = agg.dense(nodes, agg.aggregate(fx.edges(spark, sf, True), x, WIDTH), WIDTH)
+    hop = agg.dense(nodes, agg.aggregate(fx.edges(spark, sf), x, WIDTH), WIDTH)
     return _signless(d.select_features([x, hop], [weights(WIDTH, OUT, 1), weights(WIDTH, OUT, 2)], np.array([0.2, 0.7]), how))
 
 
@@ -155,20 +155,27 @@ def multinomial(spark, sf):
     return fx.nodes(spark, sf).select("node_id", sampling.multinomial(F.col("node_id"), {"a": 2.0, "b": 1.0, "c": 1.0}).alias("pick"))
 
 
-@query()
+@query(with_graph(f"SELECT node_id FROM nodes ORDER BY {_U}, node_id LIMIT 50"))
 def choice(spark, sf):
     """A sampling operator: its size is the feature."""
     return sampling.choose(fx.nodes(spark, sf).select("node_id"), "node_id", 50)
 
 
-@query()
+@query(with_graph(f", fl AS (SELECT dst AS node_id, sum(((src + 2 * dst) % 4 + 1)::DOUBLE / 4) AS flops FROM dense GROUP BY dst) SELECT node_id, flops FROM fl ORDER BY round(-ln(1 - {_U}) / flops, 12), node_id LIMIT 50"))
 def choice_weighted(spark, sf):
     return sampling.choose_weighted(agg.flops(_weighted(spark, sf), "w"), "node_id", "flops", 50)
 
 
-@query()
+def _scattered(of: str, to: str) -> str:
+    """Three steps of the draw of a column x, as expressions of CTEs."""
+    step = "xor(x, x >> 16)"
+    return f", {to}1 AS (SELECT * REPLACE ({step} * 73244475 % 2147483648 AS x) FROM {of}), {to}2 AS (SELECT * REPLACE ({step} * 73244475 % 2147483648 AS x) FROM {to}1), {to} AS (SELECT * REPLACE ({step} AS x) FROM {to}2)"
+
+
+@query(with_graph(", ids AS (SELECT node_id, node_id AS x FROM nodes)" + _scattered("ids", "a") + ", cell AS (SELECT node_id, j::INTEGER AS j, s, x + j * 2 + s AS x FROM a, range(16) t(j), range(2) u(s)), bounded AS (SELECT * REPLACE (x % 2147483648 AS x) FROM cell)" + _scattered("bounded", "b") + ", u AS (SELECT node_id, j, max((x + 1) / 2147483648.0) FILTER (WHERE s = 0) AS p, max((x + 1) / 2147483648.0) FILTER (WHERE s = 1) AS q FROM b GROUP BY node_id, j) SELECT node_id, j, round((sqrt(-2 * ln(p)) * cos(2 * 3.141592653589793::DOUBLE * q))::FLOAT::DOUBLE, 5) + 0 AS v FROM u"))
 def gaussian_features(spark, sf):
-    return sampling.gaussian(fx.nodes(spark, sf), "node_id", 16)
+    rows = sampling.gaussian(fx.nodes(spark, sf), "node_id", 16)
+    return cells(rows.select("node_id", F.transform("feat", lambda x: x.cast("double")).alias("feat")), 5).withColumn("v", F.col("v") + 0.0)
 
 
 @query(with_graph("SELECT node_id, floor(before * 4 / total)::BIGINT AS worker FROM (SELECT node_id, coalesce(sum(k) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(k) OVER () AS total FROM (SELECT dst AS node_id, count(*) AS k FROM dense GROUP BY dst))"))

@@ -56,8 +56,7 @@ _BITS = f"SELECT node_id, (CASE WHEN {_U} < 0.25 THEN 8 WHEN {_U} < 0.5 THEN 4 E
 
 
 def _mixed(spark, sf):
-    rows = _feats(spark, sf).join(q.assign_bits(_feats(spark, sf), _SHARES), "node_id")
-    return q.quantise(rows, F.col("num_bits"))
+    return q.quantise(_feats(spark, sf), q.assign_bits(F.col("node_id"), _SHARES))
 
 
 _MIXED = f""", bits AS ({_BITS}),
@@ -68,7 +67,7 @@ code AS (SELECT f.node_id, j, num_bits, round_even((v - zero) / scale, 0)::INTEG
 
 @query(with_graph(_BITS))
 def bits_assign(spark, sf):
-    return q.assign_bits(_feats(spark, sf), _SHARES)
+    return _feats(spark, sf).select("node_id", q.assign_bits(F.col("node_id"), _SHARES).alias("num_bits"))
 
 
 @query(with_graph(_MIXED + "SELECT node_id, (j * num_bits // 8)::INTEGER AS i, sum(c << (8 - num_bits - (j * num_bits) % 8)::INTEGER)::INTEGER AS b FROM code GROUP BY node_id, 2"))
@@ -100,7 +99,7 @@ def unpack_le(spark, sf):
 
 
 def _sized(spark, sf):
-    return q.assign_bits(_feats(spark, sf), _SHARES).join(part_assign(spark, sf), "node_id")
+    return bits_assign(spark, sf).join(part_assign(spark, sf), "node_id")
 
 
 _SIZED = f", bits AS ({_BITS}), sized AS (SELECT part, bits.node_id, ceil(num_bits * 64 / 8.0)::BIGINT AS size FROM bits JOIN part ON part.node_id = bits.node_id)"

@@ -40,7 +40,16 @@ def settle(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = fresh_path(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again; others, and what was derived from settled ones, are left."""
+    for t in tables:
+        if (path := t.__dict__.get("settled_at")) is not None:
+            remove(t.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

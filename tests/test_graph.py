@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardweave.functions import dense, quantise
+from shardweave.functions import codec, dense, quantise
 from shardweave.operators import aggregate, cover, exchange, model, normalise, partition, prep, sampling, telemetry
 from shardweave.operators.components import components
+from shardweave.operators.running import running
 from shardweave.sources import tables
 from shardweave.streaming import logs
 
@@ -117,7 +118,7 @@ def test_large_pairs_are_split(spark):
     p = pairs(spark, [1, 1, 2, 7, 8, 8, 8], [11, 12, 12, 17, 17, 18, 19])
     whole, split = exchange.cover_modes(p), exchange.cover_modes(p, 4)
     assert exchange.messages(whole).count() == exchange.messages(split).count() == 4
-    assert exchange.cover_modes(p, 1).count() == 7  # every component too large: the degree rule
+    assert exchange.cover_modes(p, 1).where("mode IS NOT NULL").count() == 7  # every component over the bound that splits pairs: covered all the same
 
 
 def test_no_component_is_left_out(spark):
@@ -131,9 +132,9 @@ def test_no_component_is_left_out(spark):
 
 def test_send_and_receive_lists(spark):
     p = pairs(spark, [0, 2, 2, 2, 4, 4, 5, 5], [1, 1, 2, 4, 4, 3, 6, 3]).withColumn("mode", F.when(F.expr("(src, dst) IN ((0L, 1L), (4L, 4L), (4L, 3L), (5L, 3L))"), "pre").otherwise("post"))
-    assert sorted((d, s) for s, d in got(exchange.sent(p), "src", "dst")) == sorted((d, s) for s, d in [(0, 1), (2, 2), (4, 3), (5, 3), (4, 4), (5, 5)])
+    assert [(s, d) for _, s, d in got(exchange.sent(p), "at", "src", "dst")] == [(0, 1), (2, 2), (4, 3), (5, 3), (4, 4), (5, 5)]
     r = pairs(spark, [1, 1, 2, 4, 4, 3, 6, 3], [0, 2, 2, 2, 4, 4, 5, 5]).withColumn("mode", F.when(F.expr("(src, dst) IN ((1L, 2L), (2L, 2L), (4L, 2L), (6L, 5L))"), "pre").otherwise("post"))
-    assert got(exchange.received(r), "src", "dst") == sorted(zip([1, 2, 3, 3, 4, 5], [0, 2, 4, 5, 4, 5], strict=True))
+    assert [(s, d) for _, s, d in got(exchange.received(r), "at", "src", "dst")] == list(zip([1, 2, 3, 3, 4, 5], [0, 2, 4, 5, 4, 5], strict=True))
 
 
 def random_graph(spark, n=40, m=300, width=5, seed=1):
@@ -161,6 +162,79 @@ def test_plans_do_not_change_the_answer(spark, parts):
     assert rows["cover"] == min(rows.values())
 
 
+@pytest.mark.parametrize("bits", [16, 4, 0])
+def test_packed_exchange(spark, bits):
+    """What crosses is the restored row, in both modes and both directions; nothing is packed outside training."""
+    df, e, feats, x = random_graph(spark)
+    split = partition.split_edges(df, 40, 3)
+    planned = exchange.degree_modes(exchange.cut_edges(split).select("src", "dst", "src_part", "dst_part"))
+    chosen = codec.choose_codec(bits or 32, shares={8: 0.3, 4: 0.3, 2: 0.4} if not bits else None)
+    mode = {(r["src"], r["dst"]): r["mode"] for r in planned.collect()}
+    drawn = {r["node_id"]: r["b"] for r in ids(spark, 40).select("node_id", quantise.assign_bits(F.col("node_id"), chosen.shares or chosen.bits).alias("b")).collect()}
+
+    def sent(node, row):
+        if bits == 16:
+            return np.array([0.0 if v == 0 else np.rint(v / 2.0 ** (np.floor(np.log2(abs(v))) - 7)) * 2.0 ** (np.floor(np.log2(abs(v))) - 7) for v in row])
+        spread = row.max() - row.min()
+        scale = spread / (2 ** drawn[node] - 1) if spread else 1.0
+        return np.rint((row - row.min()) / scale) * scale + row.min()
+
+    part = lambda n: n // 14
+    for back in (False, True):
+        want, sums = np.zeros_like(x), {}
+        for s, t in e:
+            a, b = (t, s) if back else (s, t)
+            if part(s) == part(t):
+                want[b] += x[a]
+            elif (mode[s, t] == "pre") != back:
+                sums[part(a), b] = sums.get((part(a), b), 0) + x[a]
+            else:
+                want[b] += sent(a, x[a])
+        for (_, b), row in sums.items():
+            want[b] += sent(b, row)
+        local = split.where("is_local")
+        turned = local.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if back else local
+        for r in exchange.aggregate_planned(turned, exchange.reversed_plan(planned) if back else planned, feats, 5, codec=chosen).collect():
+            assert np.allclose(want[r["node_id"]], r["feat"], atol=1e-9), (bits, back)
+    assert codec.choose_codec(bits or 32, training=False) is codec.PLAIN
+
+
+def test_half_floats(spark):
+    x = np.random.default_rng(8).normal(size=500) * 10.0 ** np.random.default_rng(9).integers(-44, 38, 500)
+    x = np.concatenate([x.astype(np.float32), np.array([0, 1, -1, 255.5, 256.5, np.inf, -np.inf, 1e-40, 2.0**-126, 2.0**-133], np.float32)])
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").select("i", codec.half_code(F.col("v")).alias("c")).withColumn("back", codec.half_value(F.col("c")))
+    raw = x.view(np.uint32).astype(np.uint64)
+    for r in rows.collect():
+        want = int((raw[r["i"]] + 0x7FFF + (raw[r["i"]] >> np.uint64(16) & np.uint64(1))) >> np.uint64(16))
+        if abs(x[r["i"]]) >= 2.0**-126 or x[r["i"]] == 0:  # below, values are rounded twice
+            assert r["c"] == want, x[r["i"]]
+            assert np.float32(r["back"]).view(np.uint32) >> 16 == want
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(i), int(w)) for g in range(3) for i, w in zip(rng.permutation(90)[:50] * (10**15 if g == 2 else 1), rng.integers(0, 9, 50), strict=True)]
+    df = spark.createDataFrame(rows, "g int, i long, w long")
+    for ranges in (1, 7, 1024):
+        out = running(df, ["g"], ["i"], F.col("w"), ranges=ranges).collect()
+        assert len(out) == 150 and all(r["before"] == sum(w for g, i, w in rows if g == r["g"] and i < r["i"]) for r in out)
+    assert sorted(r["k"] for r in running(ids(spark, 9), [], ["node_id"], name="k").collect()) == list(range(9))
+    assert running(ids(spark, 0), [], ["node_id"]).count() == 0
+
+
+def test_add_sums_any_number_of_rows(spark):
+    one = spark.createDataFrame([(0, [1.0]), (1, [5.0])], "node_id long, feat array<double>")
+    more = spark.createDataFrame([(0, [10.0]), (0, [100.0]), (0, [1000.0]), (2, [7.0])], "node_id long, feat array<double>")
+    assert got(aggregate.add(one, more, 1), "node_id", "feat") == [(0, [1111.0]), (1, [5.0]), (2, [7.0])]
+
+
+def test_owner_by_ranges(spark):
+    bounds = spark.createDataFrame([(0, 0, 3), (1, 3, 3), (2, 3, 1000), (3, 1000, 1001)], "part long, begin long, end long")
+    nodes = spark.createDataFrame([(x, "a") for x in (0, 2, 3, 500, 999, 1000, 1001, -1)], "node long, extra string")
+    for buckets in (1, 5, 4096):
+        assert got(partition.owner(nodes, "node", bounds, "p", buckets), "node", "p", "extra") == [(0, 0, "a"), (2, 0, "a"), (3, 2, "a"), (500, 2, "a"), (999, 2, "a"), (1000, 3, "a")]
+
+
 def test_reductions_and_transpose(spark):
     df, e, feats, x = random_graph(spark)
     for how, f in (("sum", np.sum), ("mean", np.mean), ("min", np.min), ("max", np.max), ("mul", np.prod)):

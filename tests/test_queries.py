@@ -15,7 +15,7 @@ from verify import _cell
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="the driver's tables are not here")
 #: One of each kind; verify.py runs them all.
-NAMES = ["edges_removed_all", "node_weights", "part_balanced", "feature_gather", "agg_mean", "agg_div", "scatter_add", "sddmm_mean", "gcn_norm_selfloop", "khop_2_noloop", "layer_norm", "comm_splits", "remote_renumber", "agg_plan_cover", "cover_valid", "pack_row_mixed", "unpack_rows_2", "sage_layer", "fs_sum", "argmax_acc", "log_parse", "best_epoch"]
+NAMES = ["edges_removed_all", "node_weights", "part_balanced", "feature_gather", "agg_mean", "agg_div", "scatter_add", "gaussian_features", "choice_weighted", "send_list", "sddmm_mean", "gcn_norm_selfloop", "khop_2_noloop", "layer_norm", "comm_splits", "remote_renumber", "agg_plan_cover", "agg_plan_int4", "agg_plan_mixed", "cover_valid", "pack_row_mixed", "unpack_rows_2", "sage_layer", "fs_sum", "argmax_acc", "log_parse", "best_epoch"]
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +54,7 @@ def test_components_of_all_edges(spark, con):
         if a != b:
             low, high = sorted((find(a), find(b)))
             parent[high] = low
-    got = {r["node"]: r["component"] for r in catalogue.QUERIES["components_whole"](spark, str(SF)).collect()}
+    got = {r["node"]: r["component"] for r in catalogue.QUERIES["components"](spark, str(SF)).collect()}
     assert got == {x: find(x) for x in list(parent)}
 
 
