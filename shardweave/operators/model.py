@@ -1,12 +1,10 @@
-"""Layers, models and training (L1-L13, H4, F15, F20, B10, A14). Weights live on the driver: their size is the model's, never the data's."""
+"""Layers, stacks of layers, accuracy, Adam and checkpoints (L1-L5, L11, L13, F15, B10, A14). Weights live on the driver: their size is the model's, never the data's."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,73 +106,6 @@ def glorot(rng: np.random.Generator, into: int, out: int, gain: float = 2**0.5)
     return rng.uniform(-top, top, (into, out))
 
 
-def loss_and_gradients(rows: DataFrame, w: np.ndarray, b: np.ndarray, classes: int) -> tuple[float, int, np.ndarray, np.ndarray]:
-    """Summed NLL of softmax(x @ w + b) over rows (feat, label), how many, and its gradients.
-
-    A task sends one partial sum, of the weights' size; nothing else reaches the driver.
-    """
-    into = w.shape[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, n, gw, gb = 0.0, 0, np.zeros_like(w), np.zeros_like(b)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, into)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            z = x @ w + b
-            z -= z.max(axis=1, keepdims=True)
-            logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-            loss -= logp[np.arange(len(y)), y].sum()
-            g = np.exp(logp)
-            g[np.arange(len(y)), y] -= 1
-            gw += x.T @ g
-            gb += g.sum(axis=0)
-            n += len(y)
-        flat = np.concatenate(([loss, n], gw.ravel(), gb))
-        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["partial"])
-
-    parts = rows.where((F.col("label") >= 0) & (F.col("label") < classes)).select("feat", F.col("label").cast("long").alias("label")).mapInArrow(run, "partial binary")
-    total = np.zeros(2 + w.size + b.size)
-    for r in parts.toLocalIterator():
-        total += np.frombuffer(r["partial"])
-    return float(total[0]), int(total[1]), total[2 : 2 + w.size].reshape(w.shape), total[2 + w.size :]
-
-
-@dataclass(frozen=True)
-class Fit:
-    w: np.ndarray
-    b: np.ndarray
-    history: list[tuple[int, float, float, float, float]]  # epoch, train loss, validation loss, validation and test accuracy
-    best_epoch: int
-
-
-def train(rows: DataFrame, into: int, classes: int, epochs: int = 20, rate: float = 0.05, decay: float = 0.0, patience: int = 5, seed: int = 0) -> Fit:
-    """Full-batch training of a classifier on propagated rows (node_id, feat, label, split): the layers of L1 to L3 without their graph part.
-
-    Rows are propagated once, before; each epoch reads them from a written
-    table. The weights of the least validation loss are kept (H4), and training
-    stops after ``patience`` epochs without a better one.
-    """
-    rows = settle(rows.select("node_id", "feat", "label", "split"), "train-rows")
-    rng = np.random.default_rng(seed)
-    w, b = glorot(rng, into, classes), np.zeros(classes)
-    opt, best, history = Adam([rate, rate], [decay, 0.0]), (float("inf"), 0, w, b), []
-    for epoch in range(epochs):
-        loss, n, gw, gb = loss_and_gradients(rows.where("split = 'train'"), w, b, classes)
-        opt.step([w, b], [gw / max(n, 1), gb / max(n, 1)])
-        logp = rows.select("node_id", d.softmax_log(d.matmul(F.col("feat"), w, b)).alias("feat"))
-        got = {r["split"]: r for r in accuracy(logp, rows.select("node_id", "label", "split")).collect()}  # a row a split
-        valid, test = got.get("valid"), got.get("test")
-        v_loss = valid["loss"] if valid else float("inf")
-        history.append((epoch, loss / max(n, 1), v_loss, valid["correct"] / valid["total"] if valid else 0.0, test["correct"] / test["total"] if test else 0.0))
-        if v_loss < best[0]:
-            best = (v_loss, epoch, w.copy(), b.copy())
-        elif epoch - best[1] >= patience:
-            break
-    return Fit(best[2], best[3], history, best[1])
-
-
 def save_weights(spark: SparkSession, path: str, weights: dict[str, list[np.ndarray]]) -> None:
     """A checkpoint as a table (layer, name, i, j, w)."""
     cells = [(layer, str(k), i, j, float(x)) for layer, ws in weights.items() for k, w in enumerate(ws) for i, row in enumerate(np.atleast_2d(w)) for j, x in enumerate(row)]

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from shardweave.functions import dense as d
 from shardweave.operators import aggregate as agg
-from shardweave.operators import model, sampling
+from shardweave.operators import gnn, model, sampling
 from shardweave.plans import fixtures as fx
 from shardweave.plans.fixtures import WIDTH, with_graph
 from shardweave.plans.graph_queries import _LOOPED, _NORM, _feats, _norm, _weighted, cells
 from shardweave.plans.registry import query
+from shardweave.runtime import settle
 
 OUT = 8
 
@@ -190,14 +191,88 @@ def work_blocks(spark, sf):
     return sampling.rank_blocks(part_assign(spark, sf), "part", 4, 3)
 
 
+# Gradients of one step, and training
+
+
+def _labelled(spark, sf):
+    """Nodes with one of eight labels and a split."""
+    return fx.nodes(spark, sf).select("node_id", "feat", (F.col("label") % OUT).alias("label")).join(fx.split(spark, sf), "node_id")
+
+
+_PULL = """, p AS (SELECT node_id, o, exp(z - max(z) OVER q) / sum(exp(z - m)) OVER q AS p FROM (SELECT *, max(z) OVER (PARTITION BY node_id) AS m FROM logit) WINDOW q AS (PARTITION BY node_id)),
+lab AS (SELECT s.node_id, label % 8 AS label, split FROM nodes n JOIN split s ON s.node_id = n.node_id), seen AS (SELECT count(*) AS c FROM lab WHERE split = 'train'),
+g AS (SELECT p.node_id, p.o, (p - CASE WHEN p.o = label THEN 1 ELSE 0 END) / seen.c AS g FROM p JOIN lab ON lab.node_id = p.node_id, seen WHERE split = 'train')
+"""
+_SAGE = _CTE + """, mean AS (SELECT t.node_id, t.j, s / greatest(dg, 1) AS v FROM total t JOIN deg ON deg.node_id = t.node_id),
+logit AS (SELECT mean.node_id, a.o, sum(mean.v * b.w + f.v * a.w) + a.o / 10.0 AS z FROM mean JOIN f ON f.node_id = mean.node_id AND f.j = mean.j JOIN w1 a ON a.k = f.j JOIN w2 b ON b.k = f.j AND b.o = a.o GROUP BY mean.node_id, a.o)
+""" + _PULL
+_GCN = _LOOPED + _NORM.format(d="q", e="looped") + f""", w1 AS {_w(1)}, mean AS (SELECT dst AS node_id, j, sum(v * w) AS v FROM qnorm JOIN f ON f.node_id = src GROUP BY ALL),
+logit AS (SELECT node_id, o, sum(v * w) + o / 10.0 AS z FROM mean JOIN w1 ON k = mean.j GROUP BY node_id, o)
+""" + _PULL
+_GRADIENT = "SELECT '{}' AS name, j::INTEGER AS i, o::INTEGER AS j, round(sum(v * g), 9) + 0 AS v FROM {} x JOIN g ON g.node_id = x.node_id GROUP BY x.j, g.o"
+_BIAS = "SELECT 'bias' AS name, 0::INTEGER AS i, o::INTEGER AS j, round(sum(g), 9) + 0 AS v FROM g GROUP BY o"
+
+
+def _one_layer(spark, sf, kind):
+    spec = gnn.Spec(kind, (WIDTH, OUT))
+    nodes = _labelled(spark, sf)
+    params = {"near0": weights(WIDTH, OUT, 2 if kind == "sage" else 1), "own0": weights(WIDTH, OUT, 1), "bias0": bias(OUT)}
+    if kind == "gcn":
+        del params["own0"]
+    return spec, params, gnn.over_edges(settle(gnn.weighted(kind, fx.edges(spark, sf), nodes), "weighted")), nodes
+
+
+def _gradient(spark, sf, kind):
+    """(name, i, j, v): the loss's gradient in every weight of one layer."""
+    _, grads = gnn.loss_and_gradients(*_one_layer(spark, sf, kind))
+    cells_ = [(k[:-1], i, j, round(float(v), 9) + 0.0) for k, g in grads.items() for i, row in enumerate(np.atleast_2d(g)) for j, v in enumerate(row)]
+    return spark.createDataFrame(cells_, "name string, i int, j int, v double")
+
+
+@query(with_graph(_SAGE + " UNION ALL ".join([_GRADIENT.format("near", "mean"), _GRADIENT.format("own", "f"), _BIAS])))
+def sage_gradient(spark, sf):
+    return _gradient(spark, sf, "sage")
+
+
+@query(with_graph(_GCN + " UNION ALL ".join([_GRADIENT.format("near", "mean"), _BIAS])))
+def gcn_gradient(spark, sf):
+    return _gradient(spark, sf, "gcn")
+
+
+@query(with_graph(_SAGE + """, own AS (SELECT g.node_id, k AS j, sum(g * w) AS v FROM g JOIN w1 ON w1.o = g.o GROUP BY ALL),
+far AS (SELECT g.node_id, k AS j, sum(g * w) / greatest(any_value(dg), 1) AS v FROM g JOIN w2 ON w2.o = g.o JOIN deg ON deg.node_id = g.node_id GROUP BY ALL),
+every AS (SELECT node_id, j, v FROM own UNION ALL SELECT src, j, v FROM dense JOIN far ON far.node_id = dst)
+SELECT f.node_id, f.j, round(coalesce(sum(e.v), 0), 9) + 0 AS v FROM f LEFT JOIN every e ON e.node_id = f.node_id AND e.j = f.j GROUP BY f.node_id, f.j"""))
+def sage_input_gradient(spark, sf):
+    """The gradient that reaches the input rows, through the aggregation turned round."""
+    rows = gnn.input_gradient(*_one_layer(spark, sf, "sage"))
+    return cells(rows.select("node_id", F.col("g").alias("feat")), 9).withColumn("v", F.col("v") + 0.0)
+
+
+def _history(spark, fit):
+    return spark.createDataFrame([h[:-1] for h in fit.history], gnn.HISTORY.rsplit(", ", 1)[0])
+
+
+def _trained(spark, sf, kind):
+    nodes = settle(fx.nodes(spark, sf).select("node_id", "feat", "label").join(fx.split(spark, sf), "node_id"), "nodes")
+    edges = settle(gnn.weighted(kind, fx.edges(spark, sf), nodes), "weighted")
+    return _history(spark, gnn.fit(gnn.Spec(kind, (WIDTH, 16, 10), dropout=0.5, label_rate=0.62 if kind == "sage" else 0.0), gnn.over_edges(edges), nodes, epochs=2))
+
+
 @query()
-def train_fsgnn(spark, sf):
-    """Train on once-propagated rows; a row an epoch."""
-    x, nodes = _feats(spark, sf), fx.nodes(spark, sf)
-    hop = agg.k_hop(_norm(spark, sf, True), x, nodes, WIDTH, 1, "w")[0].withColumnRenamed("feat", "hop")
-    rows = x.join(hop, "node_id").select("node_id", F.concat(F.col("feat").cast("array<double>"), "hop").alias("feat"))
-    rows = rows.join(nodes.select("node_id", "label"), "node_id").join(fx.split(spark, sf), "node_id")
-    fit = model.train(rows, 2 * WIDTH, 10, epochs=3)
-    return spark.createDataFrame(fit.history, "epoch int, train_loss double, valid_loss double, valid_acc double, test_acc double")
+def train_sage(spark, sf):
+    """Two layers with dropout, norm and shown labels; a row an epoch."""
+    return _trained(spark, sf, "sage")
 
 
+@query()
+def train_gcn(spark, sf):
+    return _trained(spark, sf, "gcn")
+
+
+@query()
+def train_fsgnn(spark, sf):
+    """Train on rows propagated once with and without self loops; a row an epoch."""
+    nodes = fx.nodes(spark, sf).select("node_id", "feat", "label").join(fx.split(spark, sf), "node_id")
+    rows = gnn.hop_inputs(fx.edges(spark, sf), nodes, WIDTH, 1)
+    return _history(spark, gnn.fit_hops(gnn.HopSpec(3, WIDTH, 16, 10, dropout=0.5), rows, epochs=3))

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardweave.functions import codec, dense, quantise
-from shardweave.operators import aggregate, cover, exchange, model, normalise, partition, prep, sampling, telemetry
+from shardweave.operators import aggregate, cover, exchange, gnn, model, normalise, partition, prep, sampling, telemetry
 from shardweave.operators.components import components
 from shardweave.operators.running import running
+from shardweave.runtime import settle
 from shardweave.sources import tables
 from shardweave.streaming import logs
 
@@ -292,20 +293,85 @@ def test_dense_rows(spark):
     assert big.select(dense.argmax(F.array(F.lit(2.0), F.lit(2.0)))).first()[0] == 0
 
 
-def test_gradients_and_training(spark):
-    rng = np.random.default_rng(5)
-    y = rng.integers(0, 3, 90)
-    x = rng.normal(size=(90, 4)) + np.eye(3, 4)[y] * 4
-    rows = [(i, x[i].tolist(), int(y[i]), ("train", "valid", "test")[i % 3]) for i in range(90)]
-    df = spark.createDataFrame(rows, "node_id long, feat array<double>, label long, split string")
-    w, b = rng.normal(size=(4, 3)), rng.normal(size=3)
-    loss, n, gw, gb = model.loss_and_gradients(df, w, b, 3)
-    step = np.zeros_like(w)
-    step[1, 2] = 1e-5
-    up, down = (model.loss_and_gradients(df, w + s * step, b, 3)[0] for s in (1, -1))
-    assert n == 90 and np.isclose((up - down) / 2e-5, gw[1, 2], rtol=1e-4) and np.isclose(gb.sum(), 0, atol=1e-9)
-    fit = model.train(df, 4, 3, epochs=6, rate=0.3)
-    assert fit.history[-1][1] < fit.history[0][1] and max(h[4] for h in fit.history) > 0.8
+def slopes(loss, params):
+    """Central differences of ``loss`` in two cells of every parameter."""
+    rng = np.random.default_rng(11)
+    for name, p in params.items():
+        for at in rng.choice(p.size, min(2, p.size), replace=False):
+            up, down = ({**params, name: p.copy()} for _ in range(2))
+            up[name].flat[at] += 1e-5
+            down[name].flat[at] -= 1e-5
+            yield name, at, (loss(up) - loss(down)) / 2e-5
+
+
+def graph_nodes(spark, x, classes=3):
+    rows = [(i, x[i].tolist(), i % classes, ("train", "train", "valid", "test")[i % 4]) for i in range(len(x))]
+    return spark.createDataFrame(rows, "node_id long, feat array<double>, label long, split string")
+
+
+def by_hand(spec, params, a, x, labels, split, epoch):
+    """The training loss by dense matrices."""
+    draw = ((np.arange(len(x)) + epoch) * 1103515245 + 12345) % 2**31 / 2**31
+    shown = (split == "train") & (draw < spec.label_rate)
+    h = x.copy()
+    if spec.label_rate:
+        emb = np.where(shown[:, None], params["labels"][labels], 0)
+        h = np.concatenate([x, emb], axis=1) if spec.label_width else x + emb
+    for i in range(spec.layers):
+        h, _ = gnn.layer(spec, params, i, np.arange(len(x)), h, a @ h, epoch)
+    learnt = (split == "train") & ~shown
+    return -gnn.log_softmax(h)[learnt, labels[learnt]].sum() / ((split == "train").sum() * (1 - spec.label_rate))
+
+
+@pytest.mark.parametrize("spec", [
+    gnn.Spec("sage", (5, 4, 3), True, 0.3, 0.4), gnn.Spec("gcn", (5, 4, 3), True), gnn.Spec("sage", (5, 4, 3), False, 0.0, 0.4, 2),
+])
+def test_gradients_through_the_aggregation(spark, spec):
+    df, e, _, x = random_graph(spark)
+    nodes = graph_nodes(spark, x)
+    split, labels = np.array([("train", "train", "valid", "test")[i % 4] for i in range(40)]), np.arange(40) % 3
+    weights = settle(gnn.weighted(spec.kind, df, nodes), "w")
+    a = np.zeros((40, 40))
+    for r in weights.collect():
+        a[r["dst"], r["src"]] = r["w"]
+    params = gnn.init(spec, 3)
+    rng = np.random.default_rng(4)
+    params = {k: v + 0.1 * rng.normal(size=v.shape) for k, v in params.items()}
+    loss, grads = gnn.loss_and_gradients(spec, params, gnn.over_edges(weights), nodes, epoch=1)
+    hand = lambda p: by_hand(spec, p, a, x, labels, split, 1)
+    assert np.isclose(loss, hand(params))
+    for name, at, slope in slopes(hand, params):
+        assert np.isclose(grads[name].flat[at], slope, rtol=1e-4, atol=1e-7), (name, at)
+
+
+@pytest.mark.parametrize("how", ["concat", "sum"])
+def test_gradients_of_hop_models(spark, how):
+    df, _, _, x = random_graph(spark)
+    rows = gnn.hop_inputs(df, graph_nodes(spark, x), 5, 1)
+    spec = gnn.HopSpec(3, 5, 4, 3, how, True, 0.3)
+    params = {k: v + 0.1 * np.random.default_rng(5).normal(size=v.shape) for k, v in gnn.init_hops(spec).items()}
+    held = rows.where("split = 'train'").orderBy("node_id").collect()
+    node, xs, y = np.array([r["node_id"] for r in held]), [np.array([r[f"x{i}"] for r in held]) for i in range(3)], [r["label"] for r in held]
+    hand = lambda p: -gnn.hops_forward(spec, p, node, xs, 2)[0][np.arange(len(y)), y].mean()
+    loss, grads = gnn.hops_gradients(spec, params, rows, 2)
+    assert np.isclose(loss, hand(params))
+    for name, at, slope in slopes(hand, params):
+        assert np.isclose(grads[name].flat[at], slope, rtol=1e-4, atol=1e-7), (name, at)
+    fit = gnn.fit_hops(spec, rows, 8, rate=0.1)
+    assert fit.history[-1][1] < fit.history[0][1]
+
+
+def test_training_keeps_the_best(spark, tmp_path):
+    df, _, _, x = random_graph(spark)
+    nodes = graph_nodes(spark, x + 3 * np.eye(3, 5)[np.arange(40) % 3])
+    spec = gnn.Spec("sage", (5, 3), False)
+    sums = gnn.over_edges(settle(gnn.weighted("sage", df, nodes), "w"))
+    fit = gnn.fit(spec, sums, nodes, 4, rate=0.3, checkpoint=str(tmp_path / "best"))
+    assert fit.history[-1][1] < fit.history[0][1]
+    assert fit.best_epoch == int(np.argmin([h[2] for h in fit.history])) and fit.best_test == max(h[5] for h in fit.history)
+    kept = model.load_weights(spark, str(tmp_path / "best"))
+    assert all(np.array_equal(kept[k][0].reshape(v.shape), v) for k, v in fit.params.items())
+    assert fit.final["test"] == fit.history[fit.best_epoch][5]
 
 
 def test_weights_round_trip(spark, tmp_path):
