@@ -1,33 +1,43 @@
 """Substring dedup (6): Rabin-Karp hashes of every window, counted in Spark.
 
-Documents are dealt into blocks of bounded text by a hash of the row. A block
-hashes all its windows of ``width`` words and sends each distinct one once, to
-the bucket its hash falls in, with the smallest doc_id of the block that holds
-it; so a passage that any number of documents share is one entry a block. A
-bucket compares what the blocks sent and answers each with one bit an entry:
-whether a smaller doc_id elsewhere holds the window. The block, hashed again,
-turns the bits into positions, merges them into maximal intervals and cuts
-these out.
-
-An entry is ten bytes (64 bits of one hash, 16 of a second; the bucket adds its
-own bits), an answer one bit. Blocks and buckets grow in number with the text,
-never in size; neither reaches the driver.
+Documents are dealt into blocks of bounded text by a hash of the row; a text
+longer than a piece is cut into pieces that overlap by a window less a word. A
+block hashes all its windows of ``width`` words to 128 bits and keeps each
+distinct one once, with the first row that holds it. Then:
+
+1. each distinct window's short fingerprint, a prefix of its hash a few bits
+   longer than the number of windows needs, goes to the bucket it falls in; the
+   bucket answers which fingerprints are not alone;
+2. for those alone the whole hash is sent, as rows that Spark groups: a window is
+   later where an earlier row holds the same 128 bits;
+3. the block, hashed again, turns what is later into positions, merges them into
+   maximal intervals and cuts these out.
+
+A fingerprint takes two or three bytes a window (sorted, as differences); only
+windows that may repeat cross as whole hashes. Blocks and buckets grow in number
+with the text, never in size; neither reaches the driver. A block deals to
+``fan`` buckets at most: beyond that it deals to runs of buckets, and relays,
+each of one run and a share of the blocks, deal on to the buckets, so that
+messages grow as the power 1.5 of the text and not as its square.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardweave.llm.text import whole
 
 BLOCK_CHARS = 6_000_000
+FAN = 8192
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd: the ring is that of 64-bit words
 _LAST = np.iinfo(np.int64).max
 
@@ -57,82 +67,81 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def _hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes a word, so that a clash of words in one is none in the other."""
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(w) for w in words]), "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 class _Block:
-    """The windows of a block's documents, in an order that its rows alone fix."""
-
-    def __init__(self, docs: pa.Table, width: int, buckets: int):
-        ids = docs.column("__id").to_pylist()
-        texts = docs.column("__text").to_pylist()
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-        first, second, self.sizes = [], [], np.zeros(len(ids), np.int64)
-        digest = xxhash.xxh64_intdigest
-        for k, i in enumerate(self.order):
-            words = np.array([digest(w) for w in _words(texts[i])], np.uint64)
-            first.append(window_hashes(words, width, _BASES[0]))
-            second.append(window_hashes(words, width, _BASES[1]))
-            self.sizes[k] = len(first[-1])
-        self.ids = np.array([_LAST if ids[i] is None else ids[i] for i in self.order], np.int64)
+    """The windows of a block's rows, in an order that the rows alone fix: by doc_id, then, for pieces, by text and piece."""
+
+    def __init__(self, docs: pa.Table, width: int, second: bool = True):
+        ids, rows, pieces = (docs.column(c).to_numpy() for c in ("__key", "__row", "__piece"))
+        self.texts = docs.column("__text").to_pylist()
+        self.order = np.lexsort((pieces, rows, ids))
+        self.key = ids[self.order], rows[self.order], pieces[self.order]
+        first, other = [], []
+        for i in self.order.tolist():
+            a, b = _hashed(_words(self.texts[i]))
+            first.append(window_hashes(a, width, _BASES[0]))
+            if second:
+                other.append(window_hashes(b, width, _BASES[1]))
+        self.sizes = np.array([len(x) for x in first], np.int64)
         self.h = np.concatenate([*first, np.zeros(0, np.uint64)])
-        h2 = (np.concatenate([*second, np.zeros(0, np.uint64)]) >> np.uint64(48)).astype(np.uint16)
-        self.doc = np.repeat(np.arange(len(ids)), self.sizes)
-        by = np.lexsort((h2, self.h))  # stable: within equal windows, by document and position
-        h, two = self.h[by], h2[by]
+        self.h2 = np.concatenate([*other, np.zeros(0, np.uint64)]) if second else None
+        self.doc = np.repeat(np.arange(len(self.order)), self.sizes)
+
+    def group(self) -> None:
+        """Entries: the distinct windows, in order of their hash, each with its first place."""
+        self.by = by = np.lexsort((self.h2, self.h))  # stable: within equal windows, by row and position
+        h, two = self.h[by], self.h2[by]
         new = np.ones(len(by), bool)
         new[1:] = (h[1:] != h[:-1]) | (two[1:] != two[:-1])
-        self.by, self.group = by, np.cumsum(new) - 1
-        at = by[new]  # the first occurrence of each distinct window: smallest doc_id, earliest start
-        self.first = at
-        self.entry_h, self.entry_h2, self.entry_id = h[new], two[new], self.ids[self.doc[at]] if len(at) else np.zeros(0, np.int64)
-        self.bucket = (_mix(self.entry_h) % np.uint64(buckets)).astype(np.int64)
-
-    def of(self, bucket: int) -> np.ndarray:
-        """Entries of a bucket, grouped by document."""
-        return self._parts().get(bucket, np.zeros(0, np.int64))
-
-    def _parts(self) -> dict[int, np.ndarray]:
-        if not hasattr(self, "_split"):
-            order = np.lexsort((np.arange(len(self.bucket)), self.entry_id, self.bucket))
-            cut = np.flatnonzero(np.diff(self.bucket[order])) + 1
-            parts = np.split(order, cut) if len(order) else []
-            self._split = {int(self.bucket[p[0]]): p for p in parts}
-        return self._split
-
-
-def _packed_ids(ids: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(ids, prepend=0).astype("<i8").reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
-
-
-def _unpacked_ids(raw: bytes) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(raw), np.uint8)
-    return np.cumsum(np.ascontiguousarray(flat.reshape(8, -1).T).view("<i8").ravel())
-
-
-_ASK = "bucket long, block long, n long, ids binary, h binary, h2 binary"
-_ANSWER = "block long, bucket long, bits binary"
-
-
-def _answer(asked: pa.Table) -> pa.Table:
-    """For one bucket: which entries another block holds under a smaller doc_id."""
-    n = asked.column("n").to_numpy()
-    h = np.concatenate([np.frombuffer(x, "<u8") for x in asked.column("h").to_pylist()])
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = np.zeros(len(s), bool)
-    same[1:] = s[1:] == s[:-1]
-    same[:-1] |= same[1:]
-    order = order[same]  # entries whose first hash is not alone
-    later = np.zeros(len(h), bool)
-    if len(order):
-        h2 = np.concatenate([np.frombuffer(x, "<u2") for x in asked.column("h2").to_pylist()])
-        ids = np.concatenate([_unpacked_ids(x) for x in asked.column("ids").to_pylist()])
-        order = order[np.lexsort((ids[order], h2[order], h[order]))]
-        a, b, c = h[order], h2[order], ids[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        later[order] = c > c[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    ends = np.cumsum(n)
-    bits = [np.packbits(later[e - k : e]).tobytes() for k, e in zip(n.tolist(), ends.tolist(), strict=True)]
-    return pa.table({"block": asked.column("block").cast(pa.int64()), "bucket": asked.column("bucket").cast(pa.int64()), "bits": pa.array(bits, pa.binary())})
+        self.entry = np.cumsum(new) - 1
+        self.first = by[new]
+
+    def fingerprints(self, shift: int) -> np.ndarray:
+        """Distinct short fingerprints, ascending."""
+        return np.unique(self.h >> np.uint64(shift))
+
+
+def _packed(a: np.ndarray) -> bytes:
+    """Ascending integers as differences of as many bytes as the largest needs."""
+    steps = np.diff(a.astype("<u8"), prepend=np.zeros(1, "<u8"))
+    size = max(1, (int(steps[1:].max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + steps[:1].tobytes() + steps[1:].reshape(-1, 1).view(np.uint8)[:, :size].tobytes() if len(a) else b""
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
+    body = np.frombuffer(raw[9:], np.uint8).reshape(-1, raw[0])
+    steps = np.zeros((len(body) + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    steps[1:, : raw[0]] = body
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _parted(a: np.ndarray, bits: int, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Runs of ascending fingerprints of ``bits`` bits by the part they fall in; parts are equal ranges."""
+    part = ((a >> np.uint64(max(0, bits - 32))) * np.uint64(parts) >> np.uint64(min(bits, 32))).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)], strict=True):
+        if e > s:
+            yield int(part[s]), a[s:e]
+
+
+def _not_alone(messages: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each message's fingerprints, those that another message has too."""
+    every = np.sort(np.concatenate(messages))
+    twice = every[1:][every[1:] == every[:-1]]
+    out = []
+    for m in messages:
+        at = np.searchsorted(twice, m)
+        out.append(m[(at < len(twice)) & (twice[np.minimum(at, len(twice) - 1)] == m)] if len(twice) else m[:0])
+    return out
 
 
 def _intervals(removed: np.ndarray, width: int, n_words: int) -> np.ndarray:
@@ -144,68 +153,175 @@ def _intervals(removed: np.ndarray, width: int, n_words: int) -> np.ndarray:
     return np.stack([starts, np.minimum(lasts + width, n_words)], axis=1)
 
 
-_CUT = "doc_id long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept string"
+def _pieces(text: str, width: int, chars: int) -> Iterator[tuple[int, str]]:
+    """(first word, piece): each piece has ``chars`` characters or a little more, and the ``width`` - 1 words that follow."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    start = 0
+    while True:
+        end, size = start, 0
+        while end < len(words) and size < chars:
+            size += len(words[end]) + 1
+            end += 1
+        yield start, b" ".join(words[start : end + width - 1]).decode("utf-8", "surrogatepass")
+        if end >= len(words):
+            return
+        start = end
+
+
+_ROW = "__id long, __key long, __row long, __piece long, __text string"
+_SHORT = "part long, block long, prints binary"
+_CUT = "doc_id long, row long, piece long, n_words long, spans array<struct<start:long,end:long>>, text string"
 
 
-def cut_repeats(docs: DataFrame, width: int = 20, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _mapped(schema_names: list[str], rows: list[tuple], types: list[pa.DataType]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(schema_names, cols, types, strict=True)})
+
+
+def cut_repeats(docs: DataFrame, width: int = 20, block_chars: int = BLOCK_CHARS, fan: int = FAN) -> DataFrame:
     """(doc_id, n_words, n_removed, intervals, kept) for every row of ``docs`` (doc_id, text).
 
     Words are runs outside [\\x20\\x09-\\x0D], unchanged. A word goes if a window of
     ``width`` words covers it whose word sequence also starts earlier: in a
     smaller doc_id, or earlier in the same text. Null, empty and short texts
-    lose nothing; a null doc_id comes last. Rows that repeat a doc_id are not
-    earlier than each other. ``intervals`` are in words, ends exclusive; ``kept``
-    is the words that stay, joined by one space. Other columns are not read.
+    lose nothing, an empty table gives an empty result; a null doc_id comes
+    last. Rows that repeat a doc_id are not earlier than each other, except that
+    texts of more than ``block_chars`` bytes come in order of a hash of theirs.
+    ``intervals`` are in words, ends exclusive; ``kept`` is the words that stay,
+    joined by one space. Other columns are not read.
     """
-    total = docs.agg(F.sum(F.length(whole(F.col("text"))))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(whole(F.col("text"))).cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    buckets = blocks
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), whole(F.col("text")).alias("__text"))
-    rows = rows.select(F.pmod(F.xxhash64("__id", "__text"), F.lit(blocks)).alias("block"), "__id", "__text")
+    bits = min(64, max(32, total.bit_length() + 3))  # windows are at most half as many as bytes: sixteen fingerprints for each
+    runs = blocks if blocks <= fan else max(fan // 2, isqrt(blocks))  # parts that a block deals to
+    each = -(-blocks // runs)  # buckets a run
+
+    doc_id = F.col("doc_id").cast("long")
+    plain = docs.select(doc_id.alias("__id"), F.coalesce(doc_id, F.lit(_LAST)).alias("__key"), F.lit(0).cast("long").alias("__row"), F.lit(0).cast("long").alias("__piece"), whole(F.col("text")).alias("__text"))
+    size = F.octet_length("__text")
+    long = plain.where(size > block_chars).withColumn("__row", F.xxhash64("__text").bitwiseOR(F.lit(1)))  # never that of whole texts
+
+    def cut_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (key, row, text) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 4)), strict=True)):
+                for at, piece in _pieces(text, width, block_chars // 2):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *(pa.array([x], pa.int64()) for x in (key, row, at)), pa.array([piece], pa.string())], names=["__id", "__key", "__row", "__piece", "__text"])
+
+    rows = plain.where(size <= block_chars).unionByName(long.mapInArrow(cut_long, _ROW))
+    rows = rows.select(F.pmod(F.xxhash64("__key", "__row", "__piece", "__text"), F.lit(blocks)).alias("block"), "*")
 
     def ask(table: pa.Table) -> pa.Table:
-        b = _Block(table, width, buckets)
-        number = table.column("block")[0].as_py()
-        out: dict[str, list] = {k: [] for k in ("bucket", "block", "n", "ids", "h", "h2")}
-        for bucket, part in b._parts().items():
-            for k, v in (("bucket", bucket), ("block", number), ("n", len(part)), ("ids", _packed_ids(b.entry_id[part])), ("h", b.entry_h[part].tobytes()), ("h2", b.entry_h2[part].tobytes())):
-                out[k].append(v)
-        types = {"ids": pa.binary(), "h": pa.binary(), "h2": pa.binary()}
-        return pa.table({k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
+        number, out = table.column("block")[0].as_py(), {}
+        for p, a in _parted(_Block(table, width, second=False).fingerprints(64 - bits), bits, runs * each):
+            out.setdefault(p // each, []).append(a)
+        return _mapped(["part", "block", "prints"], [(r, number, _packed(np.concatenate(a))) for r, a in out.items()], [pa.int64(), pa.int64(), pa.binary()])
+
+    def relay(table: pa.Table) -> pa.Table:
+        """Messages of several blocks to one run, as one message a bucket; ``who`` names the blocks."""
+        out: dict[int, list] = {}
+        for number, raw in zip(table.column("block").to_pylist(), table.column("prints").to_pylist(), strict=True):
+            for p, a in _parted(_unpacked(raw), bits, runs * each):
+                out.setdefault(p, []).append((number, a))
+        rows = [(p, [x for x, _ in ms], [_packed(a) for _, a in ms]) for p, ms in out.items()]
+        return _mapped(["part", "who", "prints"], rows, [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())])
+
+    def answer(table: pa.Table) -> pa.Table:
+        if "who" in table.column_names:
+            blocks_, raws = ([x for ms in table.column(c).to_pylist() for x in ms] for c in ("who", "prints"))
+        else:
+            blocks_, raws = table.column("block").to_pylist(), table.column("prints").to_pylist()
+        found = zip(blocks_, _not_alone([_unpacked(r) for r in raws]), strict=True)
+        return _mapped(["block", "prints"], [(b, zlib.compress(_packed(a), 1)) for b, a in found if len(a)], [pa.int64(), pa.binary()])
+
+    def entries(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        names = ["h1", "h2", "block", "at", "id", "row", "piece"]
+        if not table.num_rows or not answers.num_rows:
+            return pa.table({n: pa.array([], pa.int64()) for n in names})
+        b = _Block(table, width)
+        b.group()
+        shared = np.sort(np.concatenate([_unpacked(zlib.decompress(x)) for x in answers.column("prints").to_pylist()]))
+        short = b.h[b.first] >> np.uint64(64 - bits)
+        at = np.searchsorted(shared, short)
+        some = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == short)
+        first = b.first[some]
+        cols = [b.h[first].view(np.int64), b.h2[first].view(np.int64), np.full(len(some), key[0].as_py(), np.int64), some, *(k[b.doc[first]] for k in b.key)]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, cols, strict=True)})
 
     def cut(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "intervals", "kept")}
-        if table.num_rows:
-            b = _Block(table, width, buckets)
-            later = np.zeros(len(b.entry_h), bool)
-            for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-                part = b.of(bucket)
-                later[part] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(part)).astype(bool)
-            gone = np.ones(len(b.h), bool)  # by window: kept only where it is first of its block (or shares that doc_id's first start) and no other block is earlier
-            gone[b.by] = later[b.group] | (b.ids[b.doc[b.by]] > b.entry_id[b.group])
-            repeat = np.zeros(len(b.h), bool)  # the same window earlier in the same row
-            same = (b.group[1:] == b.group[:-1]) & (b.doc[b.by[1:]] == b.doc[b.by[:-1]])
-            repeat[b.by[1:][same]] = True
-            gone |= repeat
-            ends = np.cumsum(b.sizes)
-            ids, texts = table.column("__id").to_pylist(), table.column("__text").to_pylist()
-            for k, i in enumerate(b.order):
-                words = _words(texts[i])
-                spans = _intervals(np.flatnonzero(gone[ends[k] - b.sizes[k] : ends[k]]), width, len(words))
-                keep, at = [], 0
-                for s, e in spans.tolist():
-                    keep += words[at:s]
-                    at = e
-                keep += words[at:]
-                for name, v in (("doc_id", ids[i]), ("n_words", len(words)), ("n_removed", len(words) - len(keep)), ("intervals", [{"start": s, "end": e} for s, e in spans.tolist()]), ("kept", b" ".join(keep).decode("utf-8", "surrogatepass"))):
-                    out[name].append(v)
-        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        types = {"intervals": spans_type, "kept": pa.string()}
-        return pa.table({k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
-
-    asked = rows.groupBy("block").applyInArrow(ask, _ASK)
-    answered = asked.groupBy("bucket").applyInArrow(_answer, _ANSWER)
-    return rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(cut, _CUT)
+        names, types = ["doc_id", "row", "piece", "n_words", "spans", "text"], [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
+        if not table.num_rows:
+            return _mapped(names, [], types)
+        b = _Block(table, width)
+        b.group()
+        later = np.zeros(len(b.first), bool)
+        for part in answers.column("at").chunks:
+            later[part.flatten().to_numpy()] = True
+        gone = np.ones(len(b.h), bool)  # by window: kept only in the first row of its block, its first place there, and if no other block is earlier
+        mine, first = b.doc[b.by], b.doc[b.first][b.entry]
+        gone[b.by] = later[b.entry] | np.logical_or.reduce([k[mine] != k[first] for k in b.key])
+        again = np.zeros(len(b.h), bool)  # the same window earlier in the same row
+        same = (b.entry[1:] == b.entry[:-1]) & (mine[1:] == mine[:-1])
+        again[b.by[1:][same]] = True
+        gone |= again
+        ends, ids, out = np.cumsum(b.sizes), table.column("__id").to_pylist(), []
+        for k, i in enumerate(b.order.tolist()):
+            words = _words(b.texts[i])
+            spans = _intervals(np.flatnonzero(gone[ends[k] - b.sizes[k] : ends[k]]), width, len(words))
+            piece, text = int(b.key[2][k]), b.texts[i]
+            if not int(b.key[1][k]):  # a whole text: what is kept is made here
+                text = b" ".join(_kept(words, spans.tolist())).decode("utf-8", "surrogatepass")
+            out.append((ids[i], int(b.key[1][k]), piece, len(words), [{"start": s, "end": e} for s, e in spans.tolist()], text))
+        return _mapped(names, out, types)
+
+    asked = rows.groupBy("block").applyInArrow(ask, _SHORT)
+    if each > 1:
+        groups = max(1, isqrt(blocks))
+        asked = asked.groupBy("part", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("share")).applyInArrow(relay, "part long, who array<long>, prints array<binary>")
+    shared = asked.groupBy("part").applyInArrow(answer, "block long, prints binary")
+    whole_hashes = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(entries, "h1 long, h2 long, block long, at long, id long, row long, piece long")
+    earliest = F.min(F.struct("id", "row", "piece")).over(Window.partitionBy("h1", "h2"))  # a row a block at most
+    later = whole_hashes.withColumn("first", earliest).where(F.struct("id", "row", "piece") != F.col("first"))
+    marked = later.groupBy("block").agg(F.collect_list("at").alias("at"))  # a block's entries at most
+    done = rows.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(cut, _CUT)
+    return _finished(done, width)
+
+
+def _kept(words: list[bytes], spans: list[list[int]]) -> list[bytes]:
+    keep, at = [], 0
+    for s, e in spans:
+        keep += words[at:s]
+        at = e
+    return keep + words[at:]
+
+
+def _finished(done: DataFrame, width: int) -> DataFrame:
+    """Whole texts as they are; pieces of long ones put together, by text."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    short = done.where("row = 0").select("doc_id", "n_words", removed.alias("n_removed"), F.col("spans").alias("intervals"), F.col("text").alias("kept"))
+
+    def join(table: pa.Table) -> pa.Table:
+        names = ["doc_id", "n_words", "n_removed", "intervals", "kept"]
+        order = np.argsort(table.column("piece").to_numpy(), kind="stable").tolist()
+        starts = table.column("piece").to_pylist()
+        copies = starts.count(0)  # equal rows have equal pieces
+        words: list[bytes] = []
+        covered: list[tuple[int, int]] = []
+        for i in order[::copies]:
+            at, own = starts[i], _words(table.column("text")[i].as_py())
+            words += own[len(words) - at :]
+            covered += [(at + s["start"], at + s["end"]) for s in table.column("spans")[i].as_py()]
+        gone = np.zeros(len(words) + 1, np.int64)
+        for s, e in covered:
+            gone[s] += 1
+            gone[e] -= 1
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(gone)[:-1] > 0).astype(np.int8), [0]))))
+        spans = edge.reshape(-1, 2).tolist()
+        keep = _kept(words, spans)
+        row = (table.column("doc_id")[0].as_py(), len(words), len(words) - len(keep), [{"start": s, "end": e} for s, e in spans], b" ".join(keep).decode("utf-8", "surrogatepass"))
+        return _mapped(names, [row] * copies, [pa.int64()] * 3 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()])
+
+    schema = "doc_id long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept string"
+    return short.unionByName(done.where("row <> 0").groupBy("doc_id", "row").applyInArrow(join, schema))
 
 
 def sha256(text: str) -> str:

@@ -222,26 +222,53 @@ def test_similar_copies_within_a_template(spark):
     assert similar_found(spark, texts, max_list=16) == want
 
 
-@pytest.mark.parametrize("block", [50, 4000, 10**7])
-def test_substring_dedup(docs, block):
-    rows = plain(docs)
+def repeats_brute(rows, width=20):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     split = [[w for w in SPACE.split(t) if w] for _, t in rows]
-    first = {}
+    first, want = {}, Counter()
     for k in order:
-        for p in range(len(split[k]) - 19):
-            first.setdefault(tuple(split[k][p : p + 20]), rows[k][0])
-    want = Counter()
+        for p in range(len(split[k]) - width + 1):
+            first.setdefault(tuple(split[k][p : p + width]), rows[k][0])
     for k, (i, _) in enumerate(rows):
         gone, own = set(), set()
-        for p in range(len(split[k]) - 19):
-            w = tuple(split[k][p : p + 20])
+        for p in range(len(split[k]) - width + 1):
+            w = tuple(split[k][p : p + width])
             if w in own or first[w] != i:
-                gone.update(range(p, p + 20))
+                gone.update(range(p, p + width))
             own.add(w)
         want[i, len(split[k]), len(gone), " ".join(w for p, w in enumerate(split[k]) if p not in gone)] += 1
-    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.cut_repeats(docs, block_chars=block).collect())
-    assert got == want and sum(k[2] for k in want) > 300
+    return want
+
+
+def repeats_found(docs, **how):
+    return Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.cut_repeats(docs, **how).collect())
+
+
+@pytest.mark.parametrize(("block", "fan"), [(300, 8192), (4000, 4), (10**7, 8192)])  # texts in pieces; dealt in two levels; one block
+def test_substring_dedup(docs, block, fan):
+    want = repeats_brute(plain(docs))
+    assert repeats_found(docs, block_chars=block, fan=fan) == want and sum(k[2] for k in want) > 300
+
+
+def test_long_texts_in_pieces(spark):
+    rng = random.Random(21)
+    own, shared = words(rng, 400, 10**6), words(rng, 90, 10**6)
+    rows = [(5, f"{own} {shared} {shared}"), (5, f"{own} {shared} {shared}"), (7, f"{shared} x {own[:900]}"), (6, shared), (8, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({"block_chars": 200}, {"block_chars": 1000, "fan": 2}, {"block_chars": 200, "fan": 3, "width": 5}):
+        assert repeats_found(df, **how) == repeats_brute(rows, how.get("width", 20)), how
+
+
+def test_windows_are_told_apart_by_both_hashes():
+    import pyarrow as pa
+
+    text = words(random.Random(2), 60, 10**6)
+    b = substring_dedup._Block(pa.table({"__key": [1], "__row": [0], "__piece": [0], "__text": [text]}), 20)
+    b.h[:] = 7  # as if every first hash clashed
+    b.group()
+    assert len(b.first) == 41
+    for a in ([], [3], [2**63, 2**64 - 1], list(range(0, 3000, 7))):
+        assert substring_dedup._unpacked(substring_dedup._packed(np.array(a, np.uint64))).tolist() == a
 
 
 def test_exact_dedup(spark, docs, tmp_path):
