@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from math import isqrt
 
 import numpy as np
@@ -190,16 +191,17 @@ def cut_repeats(docs: DataFrame, width: int = 20, block_chars: int = BLOCK_CHARS
     ``intervals`` are in words, ends exclusive; ``kept`` is the words that stay,
     joined by one space. Other columns are not read.
     """
-    total = docs.agg(F.sum(F.octet_length(whole(F.col("text"))).cast("long"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    bits = min(64, max(32, total.bit_length() + 3))  # windows are at most half as many as bytes: sixteen fingerprints for each
+    size = F.octet_length(whole(F.col("text"))).cast("long")
+    total, in_long = (x or 0 for x in docs.agg(F.sum(size), F.sum(F.when(size > block_chars, size))).first())
+    few = max(1, -(-(total - in_long) // block_chars))
+    blocks = few + -(-2 * in_long // block_chars)  # pieces have blocks of their own
+    bits = min(64, max(32, total.bit_length() + 1))  # windows are at most half as many as bytes: four fingerprints for each
     runs = blocks if blocks <= fan else max(fan // 2, isqrt(blocks))  # parts that a block deals to
     each = -(-blocks // runs)  # buckets a run
 
-    doc_id = F.col("doc_id").cast("long")
-    plain = docs.select(doc_id.alias("__id"), F.coalesce(doc_id, F.lit(_LAST)).alias("__key"), F.lit(0).cast("long").alias("__row"), F.lit(0).cast("long").alias("__piece"), whole(F.col("text")).alias("__text"))
+    doc_id, none = F.col("doc_id").cast("long"), F.lit(0).cast("long")
+    plain = docs.select(doc_id.alias("__id"), F.coalesce(doc_id, F.lit(_LAST)).alias("__key"), none.alias("__row"), none.alias("__piece"), whole(F.col("text")).alias("__text"))
     size = F.octet_length("__text")
-    long = plain.where(size > block_chars).withColumn("__row", F.xxhash64("__text").bitwiseOR(F.lit(1)))  # never that of whole texts
 
     def cut_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,8 +209,13 @@ def cut_repeats(docs: DataFrame, width: int = 20, block_chars: int = BLOCK_CHARS
                 for at, piece in _pieces(text, width, block_chars // 2):
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *(pa.array([x], pa.int64()) for x in (key, row, at)), pa.array([piece], pa.string())], names=["__id", "__key", "__row", "__piece", "__text"])
 
-    rows = plain.where(size <= block_chars).unionByName(long.mapInArrow(cut_long, _ROW))
-    rows = rows.select(F.pmod(F.xxhash64("__key", "__row", "__piece", "__text"), F.lit(blocks)).alias("block"), "*")
+    def dealt(rows: DataFrame, first: int, n: int) -> DataFrame:
+        return rows.select((F.pmod(F.xxhash64("__key", "__row", "__piece", "__text"), F.lit(n)) + first).alias("block"), "*")
+
+    kinds = [dealt(plain.where(size <= block_chars), 0, few)]
+    if in_long:
+        long = plain.where(size > block_chars).withColumn("__row", F.xxhash64("__text").bitwiseOR(F.lit(1)))  # never that of whole texts
+        kinds.append(dealt(long.mapInArrow(cut_long, _ROW), few, blocks - few))
 
     def ask(table: pa.Table) -> pa.Table:
         number, out = table.column("block")[0].as_py(), {}
@@ -234,7 +241,7 @@ def cut_repeats(docs: DataFrame, width: int = 20, block_chars: int = BLOCK_CHARS
         return _mapped(["block", "prints"], [(b, zlib.compress(_packed(a), 1)) for b, a in found if len(a)], [pa.int64(), pa.binary()])
 
     def entries(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["h1", "h2", "block", "at", "id", "row", "piece"]
+        names = ["h1", "h2", "ref", "id", "row", "piece"]
         if not table.num_rows or not answers.num_rows:
             return pa.table({n: pa.array([], pa.int64()) for n in names})
         b = _Block(table, width)
@@ -244,7 +251,7 @@ def cut_repeats(docs: DataFrame, width: int = 20, block_chars: int = BLOCK_CHARS
         at = np.searchsorted(shared, short)
         some = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == short)
         first = b.first[some]
-        cols = [b.h[first].view(np.int64), b.h2[first].view(np.int64), np.full(len(some), key[0].as_py(), np.int64), some, *(k[b.doc[first]] for k in b.key)]
+        cols = [b.h[first].view(np.int64), b.h2[first].view(np.int64), (key[0].as_py() << 32) + some, *(k[b.doc[first]] for k in b.key)]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, cols, strict=True)})
 
     def cut(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -273,17 +280,26 @@ def cut_repeats(docs: DataFrame, width: int = 20, block_chars: int = BLOCK_CHARS
             out.append((ids[i], int(b.key[1][k]), piece, len(words), [{"start": s, "end": e} for s, e in spans.tolist()], text))
         return _mapped(names, out, types)
 
-    asked = rows.groupBy("block").applyInArrow(ask, _SHORT)
+    asked = reduce(DataFrame.unionByName, (rows.groupBy("block").applyInArrow(ask, _SHORT) for rows in kinds))
     if each > 1:
         groups = max(1, isqrt(blocks))
         asked = asked.groupBy("part", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("share")).applyInArrow(relay, "part long, who array<long>, prints array<binary>")
     shared = asked.groupBy("part").applyInArrow(answer, "block long, prints binary")
-    whole_hashes = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(entries, "h1 long, h2 long, block long, at long, id long, row long, piece long")
-    earliest = F.min(F.struct("id", "row", "piece")).over(Window.partitionBy("h1", "h2"))  # a row a block at most
-    later = whole_hashes.withColumn("first", earliest).where(F.struct("id", "row", "piece") != F.col("first"))
-    marked = later.groupBy("block").agg(F.collect_list("at").alias("at"))  # a block's entries at most
-    done = rows.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(cut, _CUT)
-    return _finished(done, width)
+
+    def hashes(rows: DataFrame, pieces: bool) -> DataFrame:
+        """(h1, h2, ref, id, more): ref is the block and the entry in it; more tells pieces of one doc_id apart."""
+        found = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(entries, "h1 long, h2 long, ref long, id long, row long, piece long")
+        return found.select("h1", "h2", "ref", "id", (F.struct("row", "piece") if pieces else F.lit(None).cast("struct<row:bigint,piece:bigint>")).alias("more"))
+
+    every = reduce(DataFrame.unionByName, (hashes(rows, i > 0) for i, rows in enumerate(kinds)))
+    place = F.struct("id", "more")
+    earliest = F.min(place).over(Window.partitionBy("h1", "h2"))  # a row a block at most
+    later = every.withColumn("first", earliest).where(~place.eqNullSafe(F.col("first")))
+    marked = later.groupBy(F.shiftright("ref", 32).alias("block")).agg(F.collect_list(F.col("ref").bitwiseAND(F.lit((1 << 32) - 1))).alias("at"))  # a block's entries at most
+    done = [rows.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(cut, _CUT) for rows in kinds]
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    out = done[0].select("doc_id", "n_words", removed.alias("n_removed"), F.col("spans").alias("intervals"), F.col("text").alias("kept"))
+    return out.unionByName(done[1].groupBy("doc_id", "row").applyInArrow(_join, _DONE)) if in_long else out
 
 
 def _kept(words: list[bytes], spans: list[list[int]]) -> list[bytes]:
@@ -294,34 +310,29 @@ def _kept(words: list[bytes], spans: list[list[int]]) -> list[bytes]:
     return keep + words[at:]
 
 
-def _finished(done: DataFrame, width: int) -> DataFrame:
-    """Whole texts as they are; pieces of long ones put together, by text."""
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    short = done.where("row = 0").select("doc_id", "n_words", removed.alias("n_removed"), F.col("spans").alias("intervals"), F.col("text").alias("kept"))
-
-    def join(table: pa.Table) -> pa.Table:
-        names = ["doc_id", "n_words", "n_removed", "intervals", "kept"]
-        order = np.argsort(table.column("piece").to_numpy(), kind="stable").tolist()
-        starts = table.column("piece").to_pylist()
-        copies = starts.count(0)  # equal rows have equal pieces
-        words: list[bytes] = []
-        covered: list[tuple[int, int]] = []
-        for i in order[::copies]:
-            at, own = starts[i], _words(table.column("text")[i].as_py())
-            words += own[len(words) - at :]
-            covered += [(at + s["start"], at + s["end"]) for s in table.column("spans")[i].as_py()]
-        gone = np.zeros(len(words) + 1, np.int64)
-        for s, e in covered:
-            gone[s] += 1
-            gone[e] -= 1
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(gone)[:-1] > 0).astype(np.int8), [0]))))
-        spans = edge.reshape(-1, 2).tolist()
-        keep = _kept(words, spans)
-        row = (table.column("doc_id")[0].as_py(), len(words), len(words) - len(keep), [{"start": s, "end": e} for s, e in spans], b" ".join(keep).decode("utf-8", "surrogatepass"))
-        return _mapped(names, [row] * copies, [pa.int64()] * 3 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()])
-
-    schema = "doc_id long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept string"
-    return short.unionByName(done.where("row <> 0").groupBy("doc_id", "row").applyInArrow(join, schema))
+_DONE = "doc_id long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept string"
+
+
+def _join(table: pa.Table) -> pa.Table:
+    """The pieces of a long text, put together."""
+    starts = table.column("piece").to_pylist()
+    order = np.argsort(starts, kind="stable").tolist()
+    copies = starts.count(0)  # equal rows have equal pieces
+    words: list[bytes] = []
+    covered: list[tuple[int, int]] = []
+    for i in order[::copies]:
+        at, own = starts[i], _words(table.column("text")[i].as_py())
+        words += own[len(words) - at :]
+        covered += [(at + s["start"], at + s["end"]) for s in table.column("spans")[i].as_py()]
+    gone = np.zeros(len(words) + 1, np.int64)
+    for s, e in covered:
+        gone[s] += 1
+        gone[e] -= 1
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(gone)[:-1] > 0).astype(np.int8), [0]))))
+    spans = edge.reshape(-1, 2).tolist()
+    keep = _kept(words, spans)
+    row = (table.column("doc_id")[0].as_py(), len(words), len(words) - len(keep), [{"start": s, "end": e} for s, e in spans], b" ".join(keep).decode("utf-8", "surrogatepass"))
+    return _mapped(["doc_id", "n_words", "n_removed", "intervals", "kept"], [row] * copies, [pa.int64()] * 3 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()])
 
 
 def sha256(text: str) -> str:
