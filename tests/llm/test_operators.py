@@ -468,6 +468,25 @@ def test_top_k(spark):
     assert [(r["vec_id"], r["score"]) for r in topk.top_k(two).collect()] == [(1, int(np.floor(256 * float(np.float32(1e9)))) * 1280000 + -768 * 1920)]
 
 
+def test_top_k_prunes(spark):
+    """Ranges of ids that point different ways: a chunk meets few blocks, and the answer is that of brute force."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 8)) * 0.05
+    x[np.arange(1200), np.arange(1200) // 150] += 1
+    df = spark.createDataFrame([(i, v.astype("f4").tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    w = np.floor(256 * x.astype("f4").astype(float)).astype(int)
+    want = [(q, r + 1, i, int(s)) for q in range(0, 1200, 50) for r, (i, s) in enumerate(sorted(((i, s) for i, s in enumerate(w @ w[q]) if i != q), key=lambda t: (-t[1], t[0]))[:5])]
+    assert sorted(map(tuple, topk.top_k(df, block=25, chunk=3, blocks_a_cell=2).collect())) == want
+    found = topk.prune(df, 50, 5, 256, 25, 3, run=7)
+    n, m = found.index.count(), found.asked.count()
+    assert n >= 48 and found.met.count() < 0.3 * n * m
+    flat = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(120)], "vec_id long, embedding array<double>")  # all tie: nothing can be pruned
+    assert [(r["query_id"], r["vec_id"]) for r in topk.top_k(flat, block=10, chunk=1, blocks_a_cell=1).orderBy("query_id", "rank").collect()] == [(q, i) for q in (0, 50, 100) for i in [i for i in range(6) if i != q][:5]]
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception):  # beyond 64 bits: an error, never a wrong score
+        topk.top_k(huge).collect()
+
+
 def test_sentencepiece(docs, texts):
     tool = transducer.transducer("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
