@@ -8,10 +8,10 @@ least. Within a posting list the shared positional bytes of each pair are
 tallied, pairs with fewer than 8-k are dropped, and the rest are verified on
 bits. A list yields a spanning forest of its links, never all pairs.
 
-Lists longer than ``max_list`` are never gathered. Their fingerprints take an
-exact linear way round: two words differ in at most two bits if and only if
-some word lies within one bit of both, so each emits itself and its 64
-one-bit neighbours, and those that meet in a word (65 at most) are linked.
+Lists longer than ``max_list`` are keyed again by further byte positions: as a
+linked pair shares 8-k bytes in all, it meets under some union of as many. Such
+a list is the same but for k bytes, so it has 256^k fingerprints at most; if it
+is long still, each looks up what lies within k bits of it.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from shardweave.runtime import settle
 
 _CHUNK = 1 << 16  # hashes tallied at a time: bounds memory on very long texts
 _PART = 256  # rows of a posting list compared at a time
+_DENSE = 2048  # rows beyond which a list is looked up
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -69,13 +70,30 @@ def _masks(k: int) -> list[int]:
     blocks = np.array_split(np.arange(8), k + 2)
     masks = []
     for pair in combinations(blocks, 2):
-        m = sum(255 << (8 * int(p)) for b in pair for p in b)
-        masks.append(m - (1 << 64) if m >> 63 else m)
+        masks.append(_signed(sum(255 << (8 * int(p)) for b in pair for p in b)))
+    return masks
+
+
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _bytes(mask: int) -> set[int]:
+    return {p for p in range(8) if mask >> (8 * p) & 255}
+
+
+def _longer(mask: int, k: int) -> list[int]:
+    """Keys of one list's pairs on further byte positions: linked fingerprints share 8 - k bytes at least, so some ``need`` of the other positions as well."""
+    held = _bytes(mask)
+    need = max(0, 8 - k - len(held))
+    masks = [mask | sum(255 << (8 * p) for p in more) for more in combinations(sorted(set(range(8)) - held), need)]
     return masks
 
 
 def forest(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of one posting list."""
+    if len(fps) > _DENSE:
+        return _looked_up(fps, k)
     x = fps.view(np.uint64)
     n = len(x)
     near = np.zeros((n, n), bool)
@@ -85,29 +103,53 @@ def forest(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
         a, b = np.nonzero(shared >= 8 - k)
         ok = np.bitwise_count(apart[a, b]) <= k
         near[a[ok] + i, b[ok]] = True
-    links, left = [], np.ones(n, bool)
-    for root in range(n):
+    return _walk(fps, lambda u, left: np.flatnonzero(near[u] & left))
+
+
+def _walk(fps: np.ndarray, reach) -> list[tuple[int, int]]:
+    links, left = [], np.ones(len(fps), bool)
+    for root in range(len(fps)):
         if not left[root]:
             continue
         left[root] = False
         todo = [root]
         while todo:
             u = todo.pop()
-            found = np.flatnonzero(near[u] & left)
+            found = reach(u, left)
             left[found] = False
             links += [(int(fps[u]), int(fps[v])) for v in found]
             todo += found.tolist()
     return links
 
 
+def _looked_up(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The same of a long list whose fingerprints differ in two byte positions at most: each looks up all that are ``k`` bits away or fewer."""
+    x = np.sort(fps.view(np.uint64))
+    apart = int(np.bitwise_or.reduce(x ^ x[0]))
+    bits = [1 << i for i in range(64) if apart >> i & 1]
+    flips = np.array([sum(c) for n in range(1, k + 1) for c in combinations(bits, n)], np.uint64)
+
+    def reach(u: int, left: np.ndarray) -> np.ndarray:
+        want = x[u] ^ flips
+        at = np.minimum(np.searchsorted(x, want), len(x) - 1)
+        at = np.unique(at[x[at] == want])
+        return at[left[at]]
+
+    return _walk(x.view(np.int64), reach)
+
+
 def links(distinct: DataFrame, k: int = 2, max_list: int = 1024) -> DataFrame:
     """(a, b): enough links between distinct fingerprints ``fp`` to connect all that differ in ``k`` bits or fewer."""
     if not 0 <= k <= 2:
-        raise ValueError("the linear way round for long posting lists is exact up to two bits")
-    keys = F.array(*[F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(_masks(k))])
-    posted = distinct.select("fp", F.explode(keys).alias("p")).select("fp", "p.at", "p.bytes")
-    lists = posted.groupBy("at", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = settle(posted.join(lists, ["at", "bytes"]), "postings")
+        raise ValueError("long lists are bounded by two free byte positions: k is two at most")
+
+    def posted(rows: DataFrame, masks: list[int]) -> DataFrame:
+        keys = F.array(*[F.struct(F.lit(m).cast("long").alias("at"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bytes")) for m in masks])
+        return rows.select("fp", F.explode(keys).alias("p")).select("fp", "p.at", "p.bytes")
+
+    def sized(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy("at", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return settle(rows.join(lists, ["at", "bytes"]), "postings")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,18 +157,16 @@ def links(distinct: DataFrame, k: int = 2, max_list: int = 1024) -> DataFrame:
             a, c = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
-    short = met.where(F.col("n") <= max_list).groupBy("at", "bytes").agg(F.collect_list("fp").alias("fps"))
-    pairs = short.select("fps").mapInArrow(tally, "a long, b long")
-
-    long = met.where(F.col("n") > max_list).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
-    words = long.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("word"))
-    stars = words.groupBy("word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
-    stars = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    if k < 2:
-        stars = stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= k)
-        stars = stars if k else stars.limit(0)
-    return pairs.unionByName(stars).distinct()
+    masks = _masks(k)
+    met = sized(posted(distinct, masks))
+    short = met.where(F.col("n") <= max_list)
+    longer = [(m, more) for m in masks for more in map(_signed, _longer(m % (1 << 64), k))]
+    rest = met.where(F.col("n") > max_list)
+    deep = rest.select("fp", F.explode(F.array(*[F.when(F.col("at") == m, F.lit(more)) for m, more in longer])).alias("at")).where("at IS NOT NULL")
+    deep = sized(deep.select("fp", "at", F.col("fp").bitwiseAND(F.col("at")).alias("bytes")).distinct())  # 65,536 of a key at most: the other bytes are equal
+    every = short.select("at", "bytes", "fp").unionByName(deep.select("at", "bytes", "fp"))
+    grouped = every.groupBy("at", "bytes").agg(F.collect_list("fp").alias("fps"))
+    return grouped.select("fps").mapInArrow(tally, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, k: int = 2, max_list: int = 1024) -> DataFrame:
