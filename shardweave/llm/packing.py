@@ -1,14 +1,14 @@
 """Packing (10): Karmarkar-Karp multiway differencing.
 
 Each document's ids are cut into whole windows, which are sequences as they
-are, and a rest, which is halved again and again: large pieces keep context,
-small ones even out. Rests gather until they fill a few hundred windows but for
+are, and a rest. Rests gather until they fill a few hundred windows but for
 ``SLACK`` ids each; then partial partitions are merged, the two of widest
 imbalance first, the fullest windows of one with the emptiest of the other,
-until one partition of near-equal windows is left. If a window exceeds the
-capacity the partition is made again with a window more. What a task has left
-at its end, less than the windows' slack and one window, goes to whole windows
-and then to sequences of powers of two, which need no padding.
+until one partition of near-equal windows is left. Rests go in whole; only what
+exceeds a window is cut off and given to windows with room, and where there is
+none the partition is made again with a window more. What a task has left at its
+end, less than the windows' slack and one window, goes to whole windows and then
+to sequences of powers of two, which need no padding.
 
 Nothing is shuffled: each task packs the rows it reads.
 """
@@ -29,16 +29,6 @@ from shardweave.llm.tokens import tokens
 
 GROUP = 256  # windows packed together
 SLACK = 3  # ids that a window is short of its capacity on average
-LEAST = 4  # ids of the smallest pieces
-
-
-def halved(start: int, end: int) -> list[tuple[int, int]]:
-    """Cuts of a range: its first half, the first half of what is left, and so on."""
-    out = []
-    while end - start > 2 * LEAST:
-        out.append((start, (start + end + 1) // 2))
-        start = out[-1][1]
-    return [*out, (start, end)] if end > start else out
 
 
 def differencing(sizes: np.ndarray, m: int) -> np.ndarray:
@@ -79,14 +69,42 @@ def differencing(sizes: np.ndarray, m: int) -> np.ndarray:
     return np.array([place[i][0] for i in range(n)])
 
 
-def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item (none larger than ``capacity``); as few windows as differencing fills without excess."""
-    m = max(1, -(-int(sizes.sum()) // capacity))
+def windows(sizes: np.ndarray, capacity: int, spare: int = SLACK) -> list[list[tuple[int, int, int]]]:
+    """Windows of (item, start, end), none above ``capacity``: whole items by differencing, then what exceeds a window cut off and given to those with room.
+
+    There are as many windows as hold all items with ``spare`` to spare in each;
+    their number rises while what is cut off finds no room.
+    """
+    total, m = int(sizes.sum()), 1
+    m = max(1, -(-total // (capacity - spare)))
     while True:
-        bins = differencing(sizes, m)
-        if np.bincount(bins, weights=sizes, minlength=1).max(initial=0) <= capacity:
-            return bins
+        out: list[list[tuple[int, int, int]]] = [[] for _ in range(m)]
+        for i, w in enumerate(differencing(sizes, m).tolist()):
+            out[w].append((i, 0, int(sizes[i])))
+        loads = [sum(e - s for _, s, e in w) for w in out]
+        over: list[tuple[int, int, int]] = []
+        for w, load in zip(out, loads, strict=True):
+            while load > capacity:  # from the largest item, which leaves the longest runs
+                k = max(range(len(w)), key=lambda j: w[j][2] - w[j][1])
+                i, s, e = w[k]
+                cut = max(s, e - (load - capacity))
+                over.append((i, cut, e))
+                load -= e - cut
+                w[k : k + 1] = [(i, s, cut)] if cut > s else []
+        if sum(e - s for _, s, e in over) <= sum(max(0, capacity - x) for x in loads):
+            break
         m += 1
+    room = [(load - capacity, w) for w, load in enumerate(loads) if load < capacity]
+    heapq.heapify(room)
+    for i, s, e in sorted(over, key=lambda x: x[1] - x[2]):
+        while s < e:  # into the widest room, whole where it fits
+            free, w = heapq.heappop(room)
+            n = min(-free, e - s)
+            out[w].append((i, s, s + n))
+            s += n
+            if free + n < 0:
+                heapq.heappush(room, (free + n, w))
+    return [w for w in out if w]
 
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -134,12 +152,12 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1,
             load -= m * (capacity - SLACK)
             if not front:
                 return
-            bins = windows(np.array([len(w[3]) // 4 for w in front], np.int64), capacity).tolist()
-            numbers, at = {}, {}
-            for b, piece in zip(bins, front, strict=True):
-                s = numbers.setdefault(b, number + len(numbers))
-                at[b] = put(piece, s, at.get(b, 0))
-            number += len(numbers)
+            for window in windows(np.array([len(w[3]) // 4 for w in front], np.int64), capacity):
+                at = 0
+                for i, s, e in window:
+                    doc, start, total, ids = front[i]
+                    at = put((doc, start + s, total, ids[4 * s : 4 * e]), number, at)
+                number += 1
 
         def finish() -> None:
             nonlocal number, load, waiting
@@ -169,9 +187,9 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1,
                     for s in range(0, full, capacity):
                         put((doc, s, total, raw[4 * s : 4 * (s + capacity)]), number, 0)
                         number += 1
-                    for s, e in halved(full, total):
-                        waiting.append((doc, s, total, raw[4 * s : 4 * e]))
-                        load += e - s
+                    if full < total:
+                        waiting.append((doc, full, total, raw[4 * full :]))
+                        load += total - full
                     if load >= GROUP * capacity:
                         place()
                 if len(rows) >= 10000:
