@@ -94,10 +94,11 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_chars: int = 20000, dictionary: int = 1 << 16) -> Model:
     """Learn from labelled rows outside the held-out fifth.
 
-    The sample is bounded: at most ``sample`` rows a class, taken by the hash of
-    doc_id, of texts of ``max_chars`` code points at most. Half train the
-    dictionaries and half the curve. Without rows of both classes every score
-    is one half. Conflicting labels of one doc_id leave it out.
+    The sample is bounded: at most ``sample`` doc_ids a class, taken by the hash
+    of doc_id, of texts of ``max_chars`` code points at most; of rows that repeat
+    a doc_id the least text counts. Half train the dictionaries and half the
+    curve. Without rows of both classes every score is one half. Conflicting
+    labels of one doc_id leave it out.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"))
     known = known.where("q = q2").where(~held_out(F.col("doc_id"))).select("doc_id", "q")
@@ -106,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_chars: int =
     for q in (0, 1):
         ids = known.where(F.col("q") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = ids if picked is None else picked.unionByName(ids)
-    rows = body.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()  # ids: 2 * sample rows; texts: bounded by sample and max_chars
+    found = body.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "q").agg(F.min("text").alias("text"))  # picked: 2 * sample ids
+    rows = found.orderBy("doc_id").collect()  # a row an id: 2 * sample texts of max_chars
     halves: dict[tuple[int, int], list[str]] = {(q, h): [] for q in (0, 1) for h in (0, 1)}
     for i, r in enumerate(rows):
         halves[int(r["q"] > 0), i % 2].append(r["text"])

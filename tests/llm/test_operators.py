@@ -391,8 +391,18 @@ def test_differencing():
         loads = np.bincount(bins, weights=sizes, minlength=m)
         assert len(loads) == m and loads.max() - loads.min() <= 60
     assert packing.differencing(np.array([8, 7, 6, 5, 4]), 2).sum() in (2, 3)  # the textbook case: sums 16 and 14
-    bins = packing.windows(np.array([1500, 1500, 1500]), 2048)
-    assert sorted(bins.tolist()) == [0, 1, 2]
+    assert sorted(packing.windows(np.array([1500, 1500, 1500]), 2048)) == [[(0, 0, 1500)], [(1, 0, 1500)], [(2, 0, 1500)]]
+    for n, top in ((3, 2048), (900, 2048), (1000, 300)):
+        sizes = rng.integers(1, top, n)
+        made = packing.windows(sizes, 2048)
+        held = sorted(x for w in made for x in w)
+        assert all(sum(e - s for _, s, e in w) <= 2048 for w in made) and len(made) <= -(-sizes.sum() // 2045) + 1
+        ends: dict[int, int] = {}
+        for i, s, e in held:  # every item's parts follow each other from nothing to its size
+            assert s == ends.get(i, 0) < e
+            ends[i] = e
+        assert [ends[i] for i in range(n)] == sizes.tolist()
+        assert len(held) < 1.8 * n  # items go in whole but for what exceeds a window
 
 
 def pii_brute(t):
@@ -525,6 +535,55 @@ def test_quality(spark, docs):
         assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
 
 
+def test_quality_by_hand(spark):
+    """Dictionaries, features and curve worked out again with the library alone, for every row."""
+    import zstandard
+
+    d, l = labelled(spark)
+    model = quality.fit(d, l)
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    marks = {r["doc_id"]: r["quality"] for r in l.collect() if r["quality"] is not None}
+    learnt = sorted(i for i in marks if i in texts and zlib.crc32(str(i).encode()) % 5 and 1 <= len(texts[i]) <= 20000)
+    halves = {(q, h): [texts[i] for k, i in enumerate(learnt) if marks[i] == q and k % 2 == h] for q in (0, 1) for h in (0, 1)}
+
+    def dictionary(some):
+        parts = [raw[j : j + 2048] for t in some for raw in [t.encode()] for j in range(0, len(raw), 2048)]
+        size = min(1 << 16, max(256, sum(map(len, parts)) // 4))
+        try:
+            return zstandard.train_dictionary(size, parts).as_bytes()
+        except zstandard.ZstdError:
+            return b"".join(parts)[-size:]
+
+    assert model.good == dictionary(halves[1, 0]) and model.bad == dictionary(halves[0, 0])
+
+    def features(t):
+        raw, sizes = t.encode(), []
+        for book in (model.good, model.bad):
+            tool = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(book), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(tool.compress(raw[j : j + 2048])) for j in range(0, len(raw), 2048)))
+        a, b = sizes
+        return [(a - b) / (a + b) if raw else 0.0, 64 / (64 + len(raw)), 1.0, min(0.0, np.log((a + b) / (2 * len(raw)))) if raw else 0.0]
+
+    want = {i: 1 / (1 + np.exp(-np.clip(np.dot(features(t), model.curve), -30, 30))) for i, t in texts.items()}
+    got = {r["doc_id"]: r["score"] for r in quality.score(d, model).collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[i], want[i], atol=1e-9) for i in want)
+    # the curve is the optimum of the weighted, smoothed logistic loss on the other half
+    x = np.array([features(t) for q in (0, 1) for t in halves[q, 1]])
+    y = np.array([q for q in (0, 1) for _ in halves[q, 1]])
+    seen = [marks[i] for i in marks if zlib.crc32(str(i).encode()) % 5]
+    weight = np.where(y > 0, seen.count(1) / len(seen) * len(y) / y.sum(), seen.count(0) / len(seen) * len(y) / (len(y) - y.sum()))
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    scale = np.abs(x).max(axis=0)
+    slope = (x / scale).T @ (weight * (target - 1 / (1 + np.exp(-x @ np.array(model.curve))))) - 1e-2 * np.array(model.curve) * scale
+    assert np.abs(slope).max() < 1e-5
+
+
+def test_sample_is_bounded_by_ids(spark):
+    d, l = labelled(spark)
+    many = d.unionByName(d.where("doc_id % 2 = 0").withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(20)]))).drop("k"))
+    assert quality.fit(many, l) == quality.fit(d, l)  # copies of a row weigh nothing
+
+
 def test_held_out_labels_do_not_matter(spark):
     d, l = labelled(spark, 300)
     turned = l.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
