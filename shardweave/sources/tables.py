@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardweave.operators.partition import clean_label
@@ -26,8 +23,19 @@ class Graph:
 
 
 def _numbered(edges: DataFrame) -> DataFrame:
-    """Edges with an eid that orders them (C3): the source's own, or one by file and row of the scan."""
-    return edges if "eid" in edges.columns else edges.withColumn("eid", F.monotonically_increasing_id())
+    """Edges of a file scan with an eid that orders them (C3): the source's own, or the place in all files by path, however they are split."""
+    if "eid" in edges.columns:
+        return edges
+    at = edges.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    sizes = at.groupBy("__path").agg((F.max("__row") + 1).alias("__n"))
+    ahead = Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    before = sizes.select("__path", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    return at.join(before, "__path").select(*edges.columns, (F.col("__before") + F.col("__row")).alias("eid"))
+
+
+def with_splits(nodes: DataFrame, splits: DataFrame) -> DataFrame:
+    """Nodes with the split that index lists (node_id, split) give them; null elsewhere."""
+    return nodes.join(splits, "node_id", "left")
 
 
 def read_node_property(spark: SparkSession, path: str) -> Graph:
@@ -52,50 +60,29 @@ def masks_to_ids(nodes: DataFrame, mask: str) -> DataFrame:
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst, w) of a coordinate file (A5): comments and the size line go, one-based ids become zero-based.
+    """(src, dst, w) of a coordinate file (A5): one-based ids become zero-based; pattern files weigh one.
 
-    The size line is the first that is no comment; it is found on the driver, the rest stays lazy.
+    Of the lines that read as the size line does, one is the size line and the
+    others are edges. Symmetric and skew-symmetric files give the other half too,
+    the diagonal once.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    size = lines.first()
-    parts = F.split(F.trim("value"), r"\s+")
-    rows = lines.withColumn("p", parts).select((F.col("p")[0].cast("long") - 1).alias("src"), (F.col("p")[1].cast("long") - 1).alias("dst"), F.coalesce(F.try_element_at("p", F.lit(3)).cast("double"), F.lit(1.0)).alias("w"), "value")
+    text = spark.read.text(path)
+    head = text.where("_metadata.file_block_start = 0")  # the split that begins the file
+    banner = (head.first() or {"value": ""})["value"].lower().split()
+    lines = text.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    size = lines.where("_metadata.file_block_start = 0").first()
     if size is None:
-        return rows.drop("value")
-    first = spark.read.text(path).where(F.col("value") == size["value"]).count()
-    if first == 1 or len(size["value"].split()) != 2:
-        return rows.where(F.col("value") != size["value"]).drop("value")
-    raise ValueError("the size line also reads as an edge; give weights to tell them apart")
-
-
-def read_npy(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
-    """(row, value) of .npy files (A6, A11): 1-D arrays give numbers, 2-D arrays a list a row; 16-bit floats are widened.
-
-    A file is read by one task and given out in batches; large arrays come in many files.
-    """
-    import io
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    shape = files.select(F.substring("content", 1, 256).alias("head")).first()
-    two = shape is not None and re.search(rb"\(\d+, \d+\)", bytes(shape["head"])) is not None
-    kind = pa.list_(pa.float64()) if two else pa.float64()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                a = np.load(io.BytesIO(raw), allow_pickle=False)
-                for i in range(0, len(a), 4096):
-                    part = a[i : i + 4096].astype(np.float64)
-                    values = pa.array([r.tolist() for r in part], kind) if two else pa.array(part, kind)
-                    yield pa.RecordBatch.from_arrays([pa.array([at] * len(part)), pa.array(np.arange(i, i + len(part))), values], names=["path", "row", name])
-
-    return files.mapInArrow(run, f"path string, row long, {name} {'array<double>' if two else 'double'}")
-
-
-def read_raw_floats(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """(row, feat) of raw little-endian 32-bit floats, ``width`` a row (A6); Spark splits the file into records, so any size is read in parallel."""
-    rows = spark.sparkContext.binaryRecords(path, 4 * width).zipWithIndex()  # the one source without a DataFrame reader
-    return rows.map(lambda r: (r[1], np.frombuffer(r[0], "<f4").tolist())).toDF("row long, feat array<float>")
+        return spark.createDataFrame([], "src long, dst long, w double")
+    again = lines.where(F.col("value") == size["value"]).groupBy().count().where("count > 1")
+    again = again.select(F.explode(F.array_repeat(F.lit(size["value"]), (F.col("count") - 1).cast("int"))).alias("value"))
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = lines.where(F.col("value") != size["value"]).unionByName(again).select(parts.alias("p"))
+    weight = F.lit(1.0) if "pattern" in banner else F.coalesce(F.try_element_at("p", F.lit(3)).cast("double"), F.lit(1.0))
+    rows = rows.select((F.col("p")[0].cast("long") - 1).alias("src"), (F.col("p")[1].cast("long") - 1).alias("dst"), weight.alias("w"))
+    if banner[-1:] not in (["symmetric"], ["skew-symmetric"]):
+        return rows
+    other = rows.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("w") if banner[-1] == "skew-symmetric" else F.col("w")).alias("w"))
+    return rows.unionByName(other)
 
 
 def prefix_split(node: str, labelled: int) -> Column:
@@ -135,12 +122,20 @@ def read_bounds(spark: SparkSession, path: str) -> list[int]:
     return [int(x) for r in spark.read.text(path).collect() for x in r["value"].split()]
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, world_size, variant, line_no, line) of <n>proc/<variant>/stdout*.0 under ``path``."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "stdout*.0").text(path)
+#: Where a log's world size and variant stand in its path.
+PLACE = r".*/(\d+)proc/([^/]+)/[^/]+$"
+
+
+def log_lines(files: DataFrame) -> DataFrame:
+    """(path, world_size, variant, line_no, line) of whole log files, a row each; line_no counts a file's lines from zero."""
     at = F.col("_metadata.file_path")
-    place = r".*/(\d+)proc/([^/]+)/[^/]+$"
-    return lines.select(at.alias("path"), F.regexp_extract(at, place, 1).try_cast("int").alias("world_size"), F.regexp_extract(at, place, 2).alias("variant"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    named = files.select(at.alias("path"), F.regexp_extract(at, PLACE, 1).try_cast("int").alias("world_size"), F.regexp_extract(at, PLACE, 2).alias("variant"), "value")
+    return named.select("path", "world_size", "variant", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, world_size, variant, line_no, line) of <n>proc/<variant>/stdout*.0 under ``path`` (A15); a file is read by one task."""
+    return log_lines(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "stdout*.0").text(path, wholetext=True))
 
 
 @dataclass(frozen=True)
@@ -158,6 +153,11 @@ class Settings:
     num_bits: int = 32
     is_pre_delay: bool = False
     input_dir: str = ""
+    model_name: str = "sage"
+    norm_type: str = "layer"
+    weight_decay: float = 0.0
+    is_label_augment: bool = False
+    random_seed: int = 0
 
     @staticmethod
     def read(text: str, **given: object) -> Settings:
@@ -180,16 +180,6 @@ def input_dir(root: str, graph: str, parts: int, benchmark: bool = False) -> str
     return f"{root.rstrip('/')}/{'ogbn_' if benchmark else ''}{graph}_{parts}_part/"
 
 
-LOADERS: dict[str, Callable] = {"node-property": read_node_property, "relation": read_relation, "part": read_part}
-
-
-def load(kind: str, *args: object) -> Graph:
-    """A loader by name."""
-    if kind not in LOADERS:
-        raise ValueError(f"no loader {kind!r}; there are {sorted(LOADERS)}")
-    return LOADERS[kind](*args)
-
-
 # Sinks
 
 

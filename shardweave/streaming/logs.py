@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shardweave.operators.telemetry import epoch_time, parse_log
+from shardweave.sources.tables import log_lines
 
 
 def watch(spark: SparkSession, path: str, target: str, checkpoint: str) -> None:
     """Take in the log files of ``path`` that are new since ``checkpoint`` and append their records to ``target``."""
-    lines = spark.readStream.schema("value string").option("recursiveFileLookup", "true").option("pathGlobFilter", "stdout*.0").text(path)
-    at, place = F.col("_metadata.file_path"), r".*/(\d+)proc/([^/]+)/[^/]+$"
-    rows = lines.select(at.alias("path"), F.regexp_extract(at, place, 1).try_cast("int").alias("world_size"), F.regexp_extract(at, place, 2).alias("variant"), F.lit(None).cast("long").alias("line_no"), F.col("value").alias("line"))
-    query = parse_log(rows).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    files = spark.readStream.schema("value string").option("recursiveFileLookup", "true").option("pathGlobFilter", "stdout*.0").text(path, wholetext=True)
+    query = parse_log(log_lines(files)).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardweave.functions import codec, dense, quantise
-from shardweave.operators import aggregate, cover, exchange, gnn, model, normalise, partition, prep, sampling, telemetry
+from shardweave.operators import aggregate, cover, exchange, gnn, halo, model, normalise, partition, prep, sampling, telemetry
 from shardweave.operators.components import components
 from shardweave.operators.running import running
 from shardweave.runtime import settle
-from shardweave.sources import tables
+from shardweave.sources import arrays, datasets, tables
 from shardweave.streaming import logs
 
 
@@ -401,31 +401,123 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% x\n3 3 2\n1 2 0.5\n3 1 2\n")
     assert got(tables.read_matrix_market(spark, str(tmp_path / "m.mtx")), "src", "dst", "w") == [(0, 1, 0.5), (2, 0, 2.0)]
     np.save(tmp_path / "a.npy", np.arange(6, dtype=np.float16).reshape(3, 2))
-    assert got(tables.read_npy(spark, str(tmp_path / "a.npy")), "row", "value") == [(0, [0.0, 1.0]), (1, [2.0, 3.0]), (2, [4.0, 5.0])]
+    assert got(arrays.read_npy(spark, str(tmp_path / "a.npy")), "row", "value") == [(0, [0.0, 1.0]), (1, [2.0, 3.0]), (2, [4.0, 5.0])]
     np.arange(6, dtype="<f4").tofile(tmp_path / "raw.bin")
-    assert got(tables.read_raw_floats(spark, str(tmp_path / "raw.bin"), 3), "row", "feat") == [(0, [0.0, 1.0, 2.0]), (1, [3.0, 4.0, 5.0])]
+    assert got(arrays.read_raw_floats(spark, str(tmp_path / "raw.bin"), 3), "row", "feat") == [(0, [0.0, 1.0, 2.0]), (1, [3.0, 4.0, 5.0])]
     (tmp_path / "p000-g_nodes.txt").write_text("0 1 1 1 1 7\n1 1 1 1 1 5\n")
     assert got(tables.read_partitioner_nodes(spark, str(tmp_path / "p*-g_nodes.txt")), "part", "node_id", "orig_id") == [(0, 0, 7), (0, 1, 5)]
     nodes = tables.synthetic_nodes(spark, 20, 3, 10, 4, 2, 5).withColumn("part", partition.part_of(F.col("node_id"), 20, 2))
     tables.write_parts(nodes, str(tmp_path / "g/nodes"))
     tables.write_parts(edges(spark, [1, 2], [3, 15]).withColumn("part", partition.part_of(F.col("dst"), 20, 2)), str(tmp_path / "g/edges"))
-    part = tables.load("part", spark, str(tmp_path / "g"), 1)
+    part = datasets.load("part", spark, str(tmp_path / "g"), 1)
     assert part.nodes.count() == 10 and got(part.edges, "src", "dst") == [(2, 15)]
     tables.write_bounds(partition.bounds(nodes), str(tmp_path / "b"))
     assert tables.read_bounds(spark, str(tmp_path / "b")) == [0, 10, 20]
     tables.write_stats(prep.graph_stats(nodes, edges(spark, [1], [2]), 0), str(tmp_path / "s"))
     assert spark.read.text(str(tmp_path / "s")).first()["value"] == "20 1 0 "
     tables.write_graph(tables.Graph(None, edges(spark, [1, 2], [3, 4]).withColumn("rel", F.lit("cites"))), str(tmp_path / "h"))
-    assert tables.load("relation", spark, str(tmp_path / "h"), "cites").edges.count() == 2
+    assert datasets.load("relation", spark, str(tmp_path / "h"), "cites").edges.count() == 2
     assert got(tables.shift_relation(spark.read.parquet(str(tmp_path / "h/edges")), "cites", 0, 100), "src", "dst") == [(1, 103), (2, 104)]
     with pytest.raises(ValueError):
-        tables.load("nothing")
+        datasets.load("nothing")
     made = []
     for _ in range(2):
         tables.cached(spark, str(tmp_path / "c"), lambda: made.append(1) or spark.range(3))
     assert made == [1]
 
 
+def test_matrix_market(spark, tmp_path):
+    at = tmp_path / "m.mtx"
+    read = lambda text: at.write_text(text) and got(tables.read_matrix_market(spark, str(at)), "src", "dst", "w")
+    assert read("%%MatrixMarket matrix coordinate real general\n% c\n3 3 2\n3 3 2\n1 2 0.5\n") == [(0, 1, 0.5), (2, 2, 2.0)]  # an edge that reads as the size line
+    assert read("%%MatrixMarket matrix coordinate integer general\n3 3 3\n3 3 3\n3 3 3\n1 2 4\n") == [(0, 1, 4.0), (2, 2, 3.0), (2, 2, 3.0)]
+    assert read("%%MatrixMarket matrix coordinate pattern symmetric\n\n3 3 2\n2 1\n3 3\n") == [(0, 1, 1.0), (1, 0, 1.0), (2, 2, 1.0)]
+    assert read("%%MatrixMarket matrix coordinate real skew-symmetric\n3 3 1\n2 1 5\n") == [(0, 1, -5.0), (1, 0, 5.0)]
+
+
+def test_arrays_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "CHUNK", 64)
+    x = np.random.default_rng(1).normal(size=(50, 3)).astype(np.float32)
+    for name, a in (("c", x), ("f", np.asfortranarray(x))):
+        np.save(tmp_path / f"{name}.npy", a)
+        rows = sorted((r["row"], r["value"]) for r in arrays.read_npy(spark, str(tmp_path / f"{name}.npy")).collect())
+        assert np.array_equal([v for _, v in rows], x.astype(float)) and [i for i, _ in rows] == list(range(50))
+    e = np.random.default_rng(2).integers(0, 2**40, (30, 2))
+    for name, a in (("rows", e), ("cols", np.ascontiguousarray(e.T)), ("turned", np.asfortranarray(e.T))):
+        np.save(tmp_path / f"{name}.npy", a)
+        assert got(arrays.read_npy_edges(spark, str(tmp_path / f"{name}.npy")), "eid", "src", "dst") == [(i, *map(int, r)) for i, r in enumerate(e)]
+    np.save(tmp_path / "none.npy", np.zeros(0, np.int64))
+    assert arrays.read_npy(spark, str(tmp_path / "none.npy")).count() == 0
+    feats = spark.createDataFrame([(i, x[i].tolist()) for i in range(50)], "node_id long, feat array<float>")
+    assert arrays.write_npy(feats, str(tmp_path / "out"), "feat", "node_id", parts=4) == 50
+    parts = sorted((tmp_path / "out").glob("*.npy"))
+    assert len(parts) > 1 and np.array_equal(np.concatenate([np.load(f) for f in parts]), x)
+    assert arrays.read_npy(spark, str(tmp_path / "out")).count() == 50
+
+
+def test_named_sets(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    e, x, y = rng.integers(0, 20, (40, 2)), rng.normal(size=(20, 4)), np.where(np.arange(20) % 3, np.arange(20) % 5, np.nan)
+
+    def save(name, a):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        np.save(tmp_path / name, a)
+
+    save("m/paper/node_feat.npy", x.astype(np.float16))
+    save("m/paper/node_label.npy", y)
+    save("m/paper___cites___paper/edge_index.npy", e.T)
+    save("m/author___affiliated_with___institution/edge_index.npy", e.T)
+    for i, s in enumerate(("train", "valid", "test-dev")):
+        save(f"m/split/{s}.npy", np.arange(i, 20, 4))
+    g = datasets.load("mag240M", spark, str(tmp_path / "m"))
+    assert got(g.edges, "eid", "src", "dst") == [(i, *map(int, r)) for i, r in enumerate(e)]
+    assert [(i, l, s) for i, l, s in sorted((r["node_id"], r["label"], r["split"]) for r in g.nodes.collect())] == [(i, int(y[i]) if i % 3 else -1, ("train", "valid", "test", None)[i % 4]) for i in range(20)]
+    assert got(datasets.load("mag240M-affiliations", spark, str(tmp_path / "m"), 100).edges, "eid", "dst") == [(i, int(r[1]) + 100) for i, r in enumerate(e)]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/proteins.mtx").write_text("%%MatrixMarket matrix coordinate real general\n9 9 1\n1 2 0.5\n")
+    g = datasets.load("proteins", spark, str(tmp_path / "p"), n=9, width=2, train=4, test=2, valid=1, classes=3)
+    assert g.nodes.count() == 9 and got(g.edges, "src", "dst") == [(0, 1)]
+    (tmp_path / "i/processed/paper").mkdir(parents=True)
+    x.astype("<f4").tofile(tmp_path / "i/processed/paper/node_feat.npy")
+    np.arange(20, dtype="<f4").tofile(tmp_path / "i/processed/paper/node_label_19.npy")
+    save("i/processed/paper__cites__paper/edge_index.npy", e)
+    g = datasets.load("IGB260M", spark, str(tmp_path / "i"), n=20, labelled=10, width=4)
+    assert got(g.nodes, "node_id", "label", "split")[5:12] == [(5, 5, "train"), (6, 6, "valid"), (7, 7, "valid"), (8, 8, "test"), (9, 9, "test"), (10, 10, None), (11, 11, None)]
+    assert got(g.edges, "eid", "src") == [(i, int(r[0])) for i, r in enumerate(e)]
+    marks = spark.createDataFrame([(i, [1.0], float(i), i < 3, i == 3, i > 3) for i in range(6)], "node_id long, feat array<double>, label double, train_mask boolean, val_mask boolean, test_mask boolean")
+    tables.write_graph(tables.Graph(marks, spark.createDataFrame([(i, 5 - i) for i in range(6)], "src long, dst long").coalesce(1)), str(tmp_path / "r"))
+    g = datasets.load("reddit", spark, str(tmp_path / "r"))
+    assert [s for _, s in got(g.nodes, "node_id", "split")] == ["train"] * 3 + ["valid", "test", "test"]
+    assert got(g.edges, "eid", "src") == [(i, i) for i in range(6)]
+    assert got(tables.masks_to_ids(marks, "val_mask"), "node_id") == [(3,)]
+    for s in ("train", "valid", "test"):
+        arrays.write_npy(g.nodes.where(F.col("split") == s), str(tmp_path / f"g_nodes_{s}_idx.npy"), "node_id", "node_id", "<i8")
+    assert got(datasets.read_index_lists(spark, str(tmp_path), "g"), "node_id", "split") == got(g.nodes, "node_id", "split")
+
+
+@pytest.mark.parametrize(("delay", "bits"), [(False, 32), (True, 32), (True, 8)])
+def test_a_run_from_its_folder(spark, tmp_path, delay, bits):
+    df, e, _, x = random_graph(spark)
+    nodes = graph_nodes(spark, x).withColumn("part", partition.part_of(F.col("node_id"), 40, 3))
+    tables.write_parts(nodes, str(tmp_path / "nodes"))
+    tables.write_parts(df.withColumn("part", partition.part_of(F.col("dst"), 40, 3)), str(tmp_path / "edges"))
+    tables.write_bounds(partition.bounds(nodes), str(tmp_path / "bounds"))
+    text = f"input_dir: {tmp_path}\nmodel_name: sage\nin_channels: 5\nhidden_channels: 4\nout_channels: 3\nnum_layers: 2\nnum_bits: {bits}\nis_pre_delay: {delay}\nnum_epochs: 1\n"
+    run = halo.load(spark, tables.Settings.read(text))
+    feats = run.nodes.select("node_id", "feat")
+    whole = {r["node_id"]: r["feat"] for r in run.halo.whole(feats, 5).collect()}
+    planned = {r["node_id"]: r["feat"] for r in run.halo.sums().forward(feats, 5, bits != 8).collect()}
+    assert whole.keys() == planned.keys() and all(np.allclose(whole[k], planned[k]) for k in whole)
+    assert run.halo.planned.where("mode = 'pre'").isEmpty() != delay
+    assert got(run.halo.degrees, "node_id", "deg") == [(i, sum(b == i for _, b in e)) for i in range(40)]
+    if bits == 8:  # training packs what crosses: near the plain answer, not equal
+        packed = {r["node_id"]: r["feat"] for r in run.halo.sums().forward(feats, 5, True).collect()}
+        apart = max(np.abs(np.array(whole[k]) - packed[k]).max() for k in whole)
+        assert 0 < apart < 0.1
+        fit = run.train(str(tmp_path / "best"))
+        assert len(fit.history) == 1 and 0 <= fit.final["test"] <= 1
+
+
 def test_settings():
     s = tables.Settings.read("graph_name: 'products'  # x\nnum_bits: 2\nis_pre_delay: true\nlr: 0.1\n", num_epochs=7, lr=None)
     assert (s.graph_name, s.num_bits, s.is_pre_delay, s.lr, s.num_epochs) == ("products", 2, True, 0.1, 7)
@@ -445,6 +537,7 @@ def test_logs(spark, tmp_path):
     records = telemetry.parse_log(tables.read_logs(spark, str(tmp_path / "runs")))
     assert records.count() == 6
     assert got(telemetry.epoch_time(records), "world_size", "variant", "seconds") == [(4, "2bit", 0.5), (4, "32bit", 1.5)]
+    assert [n for (n,) in got(records.where("variant = '2bit'"), "line_no")] == [1, 2, 3]
     logs.watch(spark, str(tmp_path / "runs"), str(tmp_path / "out"), str(tmp_path / "ck"))
     logs.watch(spark, str(tmp_path / "runs"), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert got(logs.summary(spark, str(tmp_path / "out")), "variant", "seconds") == [("2bit", 0.5), ("32bit", 1.5)]
