@@ -13,18 +13,19 @@ links that are left verified on the whole shingle sets.
 
 Posting lists yield a spanning forest of greatest tallies first. A tally is
 noisy, so a tree edge may fail where another would have held: after verification
-the rows of a list that are still in different components give their other pairs,
-a few of the greatest tallies, then all that are left. Lists
-longer than ``max_list`` are dealt into parts by a hash that differs from key
-to key; the row closest to a part's consensus stands for it, the best of these
-joins every part, so copies of one text meet it wherever they are dealt. Rows that
-this leaves apart visit all parts of their lists: a list costs its length, and
-the rows outside its main component times its parts.
+the rows of a list that are still in different components are tested against
+each other in place. Lists longer than ``max_list`` are dealt into parts by a
+hash that differs from key to key; the row closest to a part's consensus stands
+for it, the best of these joins every part, so copies of one text meet it
+wherever they are dealt. Rows that this leaves apart visit all parts of their
+lists, with their shingle sets: no pairs are sent, and what a task holds is two
+parts' rows. The comparisons are as many as rows outside a list's main component
+times its rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -42,9 +43,6 @@ MISS = 2e-6
 _rng = np.random.Generator(np.random.PCG64(20))
 _ORDERS = _rng.integers(0, 1 << 63, BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 2048
-#: Pairs that a row a forest left apart gives a list, before it gives all.
-FEW = 16
-_GUESTS = 128
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -164,80 +162,149 @@ def _forests(met: DataFrame, least: int, max_list: int) -> DataFrame:
     return gather(rows).select("rows").mapInArrow(tally, "a long, b long").distinct()
 
 
-def _across(met: DataFrame, label: DataFrame, least: int, most: int | None) -> DataFrame:
-    """(a, b): pairs of a list whose rows are in different components and share ``least`` positional bytes.
+_CELL = ["at", "bytes", "part", "source"]
 
-    Rows meet every part of their list, but those of the component that has most of it stay in
-    their own; each that travels gives a part its ``most`` greatest tallies, or all.
+
+def _cells(met: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of the lists that hold several components, dealt to cells: a part's own rows, and guests from one part.
+
+    Rows of the component that has most of a list stay in their part; the others
+    are guests in every part. So any two rows of a list that are in different
+    components meet in a cell, and a cell has two parts' rows at most.
     """
-    named = met.where("n > 2").join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = met.join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     sizes = named.groupBy("at", "bytes", "component").agg(F.count(F.lit(1)).alias("k"))
     lists = sizes.groupBy("at", "bytes").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("kinds"))
     rest = named.join(lists.where("kinds > 1").select("at", "bytes", F.col("m.component").alias("main")), ["at", "bytes"])
-    guests = rest.where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rest.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-    groups = rows.groupBy("at", "bytes", "part").agg(F.collect_list(F.struct("sid", "sig", "component", "guest")).alias("rows"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    keep = [*_CELL, "sid", "sig", "component", "guest"]
+    own = rest.withColumn("source", every).withColumn("guest", F.lit(False)).select(*keep)
+    guests = rest.where("component <> main").withColumn("source", F.col("part")).withColumn("part", every).withColumn("guest", F.lit(True)).select(*keep)
+    return own.unionByName(guests)
+
+
+def _by_cell(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on each cell's rows; a task holds a cell at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
         for b in batches:
-            rows, ends = b.column(0).flatten(), np.cumsum(b.column(0).value_lengths().to_numpy())
-            sigs, guest = _matrix(rows.field("sig").to_pylist()), rows.field("guest").to_numpy(zero_copy_only=False)
-            sids, kinds = rows.field("sid").to_numpy(), rows.field("component").to_numpy()
-            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                stay, come = (start + np.flatnonzero(guest[start:end] == g) for g in (False, True))
-                for k in range(0, len(come), _GUESTS):
-                    some = come[k : k + _GUESTS]
-                    tally = (sigs[some][:, None] == sigs[stay][None]).sum(axis=2)
-                    tally[kinds[some][:, None] == kinds[stay][None]] = -1
-                    ok = tally >= least
-                    if most is not None and most < len(stay):
-                        first = np.zeros_like(ok)
-                        np.put_along_axis(first, np.argpartition(-tally, most, axis=1)[:, :most], True, axis=1)
-                        ok &= first
-                    x, y = np.nonzero(ok)
-                    if len(x):
-                        x, y = sids[some[x]], sids[stay[y]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return groups.select("rows").mapInArrow(run, "a long, b long").distinct()
+            cell, start = [b.column(c).to_pylist() for c in _CELL], 0
+            for i, k in enumerate(zip(*cell, strict=True)):
+                if k != key:
+                    if i > start:
+                        held.append(b.slice(start, i - start))
+                    if held:
+                        yield work(pa.Table.from_batches(held))
+                    held, key, start = [], k, i
+            if b.num_rows > start:
+                held.append(b.slice(start))
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(run, schema)
+
+
+def _candidates(cell: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each guest the rows of other components that share ``least`` bytes with it, the greatest tally first; a pair is given in the first list alone that both are in."""
+    sigs, guest, kinds = _matrix(cell.column("sig").to_pylist()), cell.column("guest").to_numpy(), cell.column("component").to_numpy()
+    stay, at, step = np.flatnonzero(~guest), cell.column("at")[0].as_py(), BYTES // KEY
+    for g in np.flatnonzero(guest).tolist():
+        same = sigs[stay] == sigs[g]
+        tally = same.sum(axis=1)
+        some = np.flatnonzero((tally >= least) & (kinds[stay] != kinds[g]))
+        if not len(some):
+            continue
+        near = same[some]
+        met = np.concatenate([near.reshape(-1, step, KEY).all(axis=2), near.reshape(-1, KEY, step).all(axis=1)], axis=1)
+        some = some[met.argmax(axis=1) == at]
+        if len(some):
+            yield g, stay[some[np.argsort(-tally[some], kind="stable")]]
+
+
+def _rest(docs: DataFrame, distinct: DataFrame, met: DataFrame, label: DataFrame, least: int, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links between components, tested in place: a cell gets the shingle sets of the rows that have a candidate there and gives a forest of links. No pair leaves a cell untested, none is sent to be tested."""
+    cells = _cells(met, label)
+
+    def involved(cell: pa.Table) -> pa.RecordBatch:
+        rows: set[int] = set()
+        for g, others in _candidates(cell, least):
+            rows.add(g)
+            rows.update(others.tolist())
+        kept = cell.take(pa.array(sorted(rows), pa.int64())).combine_chunks()
+        return pa.RecordBatch.from_arrays([kept.column(c).combine_chunks() if kept.num_rows else pa.array([], kept.schema.field(c).type) for c in kept.column_names], names=kept.column_names)
+
+    names = "at int, bytes binary, part long, source long, sid long, sig binary, component long, guest boolean"
+    few = settle(_by_cell(cells, involved, names), "cells")
+    sets = _sets(docs, distinct, few.select("sid").distinct(), shingle)
+
+    def test(cell: pa.Table) -> pa.RecordBatch:
+        sids, root = cell.column("sid").to_pylist(), {c: c for c in cell.column("component").to_pylist()}
+        kinds, raws = cell.column("component").to_pylist(), cell.column("shingles")
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        links = []
+        for g, others in _candidates(cell, least):
+            x = np.frombuffer(raws[g].as_py(), np.uint64)
+            for o in others.tolist():
+                if (u := find(kinds[g])) != (v := find(kinds[o])) and _alike(x, np.frombuffer(raws[o].as_py(), np.uint64), similarity):
+                    root[u] = v
+                    links.append((min(sids[g], sids[o]), max(sids[g], sids[o])))
+        x, y = zip(*links, strict=True) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return _by_cell(few.join(sets, "sid"), test, "a long, b long").distinct()
 
 
 def _links(docs: DataFrame, distinct: DataFrame, least: int, max_list: int, shingle: int, similarity: float) -> DataFrame:
-    """Links that join what all verified pairs would: a forest by tally first, then what it left apart, until no pair is untested that could join two components."""
+    """Links that join what all verified pairs would: a forest by tally first, then whatever lists still hold apart."""
     met = _postings(distinct.select("sid", "sig"), max_list)
     tested = settle(_forests(met, least, max_list), "pairs")
     links = settle(_verified(docs, distinct, tested, shingle, similarity), "links")
-    for most in (FEW, None):
-        label = components(links, "a", "b").select(F.col("node").alias("sid"), "component")
-        more = settle(_across(met, label, least, most).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            links = links.unionByName(settle(_verified(docs, distinct, more, shingle, similarity), "links"))
-            tested = tested.unionByName(more)
-    return links
+    label = components(links, "a", "b").select(F.col("node").alias("sid"), "component")
+    return links.unionByName(settle(_rest(docs, distinct, met, label, least, shingle, similarity), "links"))
 
 
-def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets are as similar as asked."""
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two ascending sets are as similar as asked; sets of too different sizes never are."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def _sets(docs: DataFrame, distinct: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """(sid, shingles) of the sets that ``named`` has the sid of, written."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raws = [shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raws, pa.binary())], names=["sid", "shingles"])
 
+    wanted = distinct.join(named, "sid").select("sid", F.col("first").alias("doc_id"), "row")
+    bodies = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(wanted, ["doc_id", "row"]).select("sid", "text")
+    return settle(bodies.mapInArrow(sets, "sid long, shingles binary").dropDuplicates(["sid"]), "shingles")
+
+
+def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets are as similar as asked."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
+                ok.append(_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     named = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = distinct.join(named, "sid").select("sid", F.col("first").alias("doc_id"), "row")
-    bodies = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(wanted, ["doc_id", "row"]).select("sid", "text")
-    body = settle(bodies.mapInArrow(sets, "sid long, shingles binary").dropDuplicates(["sid"]), "shingles")
+    body = _sets(docs, distinct, named, shingle)
     left = pairs.join(body.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(body.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(compare, "a long, b long")
